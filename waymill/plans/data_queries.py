@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.operators.impute import chained_imputation, filled_cells
+from waymill.operators.nearby import nearby_of_tables
 from waymill.sources.tables import table
 from waymill.streaming.compact import compact, table_of_files
 
@@ -26,7 +27,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(spark, table_of_files(f"{sf_dir}/start_end_files.parquet"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p2_found": p2_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points near points of other routes, near lines, and in areas."""
+    return nearby_of_tables(table(spark, sf_dir, "start_end"), table(spark, sf_dir, "network_map"), table(spark, sf_dir, "map_areas"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p2_found": p2_found, "p4_found": p4_found}
 
 ORACLE = {
     "p1_found": """
@@ -63,4 +69,41 @@ ORACLE = {
         SELECT DISTINCT map_id, route_no, coordinates,
                CAST(round(TRY_CAST(m.x AS DOUBLE) * 100) AS BIGINT) AS x_cm, CAST(round(TRY_CAST(m.y AS DOUBLE) * 100) AS BIGINT) AS y_cm
         FROM xy WHERE TRY_CAST(m.x AS DOUBLE) IS NOT NULL AND TRY_CAST(m.y AS DOUBLE) IS NOT NULL""",
+    "p4_found": r"""
+        WITH raw AS (
+            SELECT point_id, route_id, string_split_regex(trim(regexp_extract(geometry, '(?i)^\s*(SRID=\d+;)?\s*POINT\s*Z?\s*\(([-+0-9.eE\s]+)\)\s*$', 2)), '\s+') AS w
+            FROM start_end),
+        pt AS (
+            SELECT DISTINCT point_id, route_id, TRY_CAST(w[1] AS DOUBLE) AS x, TRY_CAST(w[2] AS DOUBLE) AS y
+            FROM raw WHERE TRY_CAST(w[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(w[2] AS DOUBLE) IS NOT NULL),
+        lines AS (
+            SELECT DISTINCT edge_id, list_transform(string_split(regexp_extract(geometry, '(?i)LINESTRING\s*Z?\s*\(([^()]*)\)', 1), ','),
+                   lambda p: string_split_regex(trim(p), '\s+')) AS c
+            FROM network_map WHERE regexp_matches(geometry, '(?i)LINESTRING\s*Z?\s*\([^()]*\)')),
+        vertex AS (
+            SELECT edge_id, c, unnest(range(1, len(c))) AS k FROM lines),
+        seg AS (
+            SELECT DISTINCT edge_id, CAST(c[k][1] AS DOUBLE) AS x1, CAST(c[k][2] AS DOUBLE) AS y1, CAST(c[k + 1][1] AS DOUBLE) AS x2, CAST(c[k + 1][2] AS DOUBLE) AS y2
+            FROM vertex),
+        near_line AS (
+            SELECT point_id, edge_id, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy,
+                   CASE WHEN x1 = x2 AND y1 = y2 THEN 0
+                        ELSE greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) END AS t
+            FROM pt JOIN seg ON x BETWEEN least(x1, x2) - 6.01 AND greatest(x1, x2) + 6.01 AND y BETWEEN least(y1, y2) - 6.01 AND greatest(y1, y2) + 6.01),
+        ring AS (
+            SELECT DISTINCT area_id, unnest(regexp_extract_all(geometry, '\(([^()]+)\)', 1)) AS r FROM map_areas),
+        corner AS (
+            SELECT area_id, list_transform(string_split(r, ','), lambda p: string_split_regex(trim(p), '\s+')) AS c FROM ring),
+        side AS (SELECT area_id, c, unnest(range(1, len(c))) AS k FROM corner),
+        edge AS (
+            SELECT area_id, CAST(c[k][1] AS DOUBLE) AS x1, CAST(c[k][2] AS DOUBLE) AS y1, CAST(c[k + 1][1] AS DOUBLE) AS x2, CAST(c[k + 1][2] AS DOUBLE) AS y2
+            FROM side)
+        SELECT 'point' AS kind, a.point_id AS left_id, b.point_id AS right_id
+        FROM pt a JOIN pt b ON a.point_id < b.point_id AND a.route_id <> b.route_id AND b.x BETWEEN a.x - 10.01 AND a.x + 10.01
+        WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 100 + 1e-6
+        UNION ALL
+        SELECT DISTINCT 'line', point_id, edge_id FROM near_line WHERE (x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2 <= 36 + 1e-6
+        UNION ALL
+        SELECT 'area', point_id, area_id FROM pt JOIN edge ON y >= least(y1, y2) AND y < greatest(y1, y2) AND x1 + (y - y1) * (x2 - x1) / (y2 - y1) < x
+        GROUP BY point_id, area_id HAVING count(*) % 2 = 1""",
 }
