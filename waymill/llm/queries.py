@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymill.llm import bitslice
+from waymill.llm import bitslice, cdc
 from waymill.sources.tables import table
 
 
@@ -22,7 +22,44 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(ends, "class", "left").select(F.col("record").alias("route_id"), F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation routes of which at least 60 % of the steps are in a training route, with that route."""
+    pairs = cdc.near_overlap(table(spark, sf_dir, "sampled_eval"), table(spark, sf_dir, "sampled_train"), record=["split_name", "route_id"], source=["route_id"])
+    return pairs.select("split_name", F.col("route_id").alias("eval_route_id"), "train_route_id")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and map of the evaluation route: overlapping routes, and pairs with training routes."""
+    evaluation = table(spark, sf_dir, "sampled_eval")
+    pairs = cdc.near_overlap(evaluation, table(spark, sf_dir, "sampled_train"), record=["split_name", "route_id"], source=["route_id"])
+    maps = evaluation.groupBy("split_name", "route_id").agg(F.min("map_id").alias("map_id"))
+    return pairs.join(maps, ["split_name", "route_id"]).groupBy("split_name", "map_id").agg(F.countDistinct("route_id").alias("n_routes"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def p5_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation route the fraction of its steps in content-defined chunks that training routes hold unchanged."""
+    return cdc.exact_overlap(table(spark, sf_dir, "sampled_eval"), table(spark, sf_dir, "sampled_train"), record=["split_name", "route_id"], source=["route_id"])
+
+
+QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_report": p5_report, "p5_fractions": p5_fractions}
+
+#: Steps with clean vectors, matches of steps, and pairs of routes; shared by two statements.
+_P5 = """
+    WITH e AS (
+        SELECT DISTINCT split_name, route_id, step_id, list_transform(feature_vec, lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END) AS v
+        FROM sampled_eval WHERE feature_vec IS NOT NULL),
+    t AS (
+        SELECT DISTINCT route_id, step_id, list_transform(feature_vec, lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END) AS v
+        FROM sampled_train WHERE feature_vec IS NOT NULL),
+    n AS (SELECT split_name, route_id, count(*) AS n FROM e GROUP BY ALL),
+    m AS (
+        SELECT DISTINCT e.split_name, e.route_id AS er, e.step_id, t.route_id AS tr
+        FROM e JOIN t ON abs(e.v[1] - t.v[1]) <= 0.5 + 1e-9
+        WHERE len(list_filter(list_zip(e.v, t.v), lambda p: abs(p[1] - p[2]) > 0.5 + 1e-9)) = 0),
+    pair AS (
+        SELECT m.split_name, m.er, m.tr FROM m JOIN n ON n.split_name = m.split_name AND n.route_id = m.er
+        GROUP BY m.split_name, m.er, m.tr, n.n HAVING count(*) * 5 >= n.n * 3)
+"""
 
 ORACLE = {
     "p3_found": r"""
@@ -40,4 +77,11 @@ ORACLE = {
         SELECT ra AS route_id_a, rb AS route_id_b
         FROM c JOIN n na ON ra = na.route_id JOIN n nb ON rb = nb.route_id
         WHERE 10 * c >= 7 * (na.n + nb.n - c)""",
+    "p5_found": _P5 + "SELECT split_name, er AS eval_route_id, tr AS train_route_id FROM pair",
+    "p5_report": _P5
+    + """
+        SELECT p.split_name, k.map_id, count(DISTINCT er) AS n_routes, count(*) AS n_pairs
+        FROM pair p JOIN (SELECT split_name, route_id, min(map_id) AS map_id FROM sampled_eval GROUP BY ALL) k
+          ON k.split_name = p.split_name AND k.route_id = p.er
+        GROUP BY ALL""",
 }
