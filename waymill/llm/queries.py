@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymill.llm import bitslice, cdc
+from waymill.llm import bitslice, bpe, cdc
 from waymill.sources.tables import table
 
 
@@ -41,7 +41,26 @@ def p5_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.exact_overlap(table(spark, sf_dir, "sampled_eval"), table(spark, sf_dir, "sampled_train"), record=["split_name", "route_id"], source=["route_id"])
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_report": p5_report, "p5_fractions": p5_fractions}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's token ids."""
+    return bpe.encode_column(table(spark, sf_dir, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and checksum of each document after encoding and decoding."""
+    back = bpe.decode_column(bpe.encode_column(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p5_fractions": p5_fractions,
+    "p6_ids": p6_ids,
+    "p6_roundtrip": p6_roundtrip,
+}
 
 #: Steps with clean vectors, matches of steps, and pairs of routes; shared by two statements.
 _P5 = """
@@ -84,4 +103,5 @@ ORACLE = {
         FROM pair p JOIN (SELECT split_name, route_id, min(map_id) AS map_id FROM sampled_eval GROUP BY ALL) k
           ON k.split_name = p.split_name AND k.route_id = p.er
         GROUP BY ALL""",
+    "p6_roundtrip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
 }
