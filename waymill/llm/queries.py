@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymill.llm import bitslice, bpe, cdc
+from waymill.llm import bitslice, bpe, cdc, fmindex
 from waymill.sources.tables import table
 
 
@@ -52,7 +52,23 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each test item of which it holds a passage."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item: documents that hold passages of it, and the words to remove."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("words").alias("n_words"))
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_report": p7_report,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p5_found": p5_found,
@@ -104,4 +120,13 @@ ORACLE = {
           ON k.split_name = p.split_name AND k.route_id = p.er
         GROUP BY ALL""",
     "p6_roundtrip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
+    "p7_found": r"""
+        WITH word AS (
+            SELECT doc_id, regexp_extract_all(regexp_replace(replace(lower(text), '\-', ''), '\\\p{L}+', ' ', 'g'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        own AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items),
+        dk AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM word),
+        ik AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM own),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM dk),
+        ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM ik)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }
