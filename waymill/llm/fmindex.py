@@ -144,15 +144,20 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
+def word_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower-case form of each code point, made once per process."""
+    if not _TABLES:
+        _TABLES.append(_tables())
+    return _TABLES[0]
+
+
 def word_runs(plane: Plane, markup: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(points, places, starts, ends): lower-case code points, their places in the plane, and the runs that are words.
 
     With ``markup``, a backslash and the letters after it part words and are none, and a backslash with a hyphen is
     taken out without parting.
     """
-    if not _TABLES:
-        _TABLES.append(_tables())
-    kind_of, lower = _TABLES[0]
+    kind_of, lower = word_tables()
     points, first = plane.points, plane.first()
     places = np.arange(len(points))
     if markup:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymill.llm import bitslice, bpe, cdc, fmindex
+from waymill.llm import bitslice, bpe, cdc, fmindex, langid
 from waymill.sources.tables import table
 
 
@@ -66,9 +66,31 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label is missing or wrong, or that hold a passage in a further language."""
+    return langid.label_issues(_passages(spark, sf_dir))
+
+
+def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language with its confidence."""
+    return langid.document_languages(_passages(spark, sf_dir))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage's language with its confidence and place."""
+    return _passages(spark, sf_dir)
+
+
 QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_labels": p8_labels,
+    "p8_passages": p8_passages,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p5_found": p5_found,
