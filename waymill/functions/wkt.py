@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waymill.functions.expressions import let
+
 #: The forms of the accepted texts. Group 1 is the coordinate text.
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 POSITION = rf"\s*{NUMBER}(?:\s+{NUMBER}){{1,3}}\s*"
@@ -18,27 +20,26 @@ LINE = PREFIX + r"LINESTRING\s*(?:ZM|Z|M)?\s*\(([^()]*)\)\s*$"
 POINT = PREFIX + rf"POINT\s*(?:ZM|Z|M)?\s*\(({POSITION})\)\s*$"
 
 
-def _ordinate(words: Column, at: int) -> Column:
-    return F.try_element_at(words, F.lit(at)).try_cast("double")
+def _positions(text: Column) -> Column:
+    """Comma-separated positions to x/y structs; a coordinate that is no number is null."""
+    words = F.transform(F.split(text, ","), lambda p: F.split(F.btrim(p, F.lit(" \t\r\n")), r"\s+"))
+    ordinate = lambda w, i: F.get(w, i).try_cast("double")
+    return F.transform(words, lambda w: F.struct(ordinate(w, 0).alias("x"), ordinate(w, 1).alias("y")))
+
+
+def _finite(c: Column) -> Column:
+    """Whether both coordinates are numbers (a comparison with null is null, which no test takes for true)."""
+    return (F.abs(c.x) < float("inf")) & (F.abs(c.y) < float("inf"))
 
 
 def line_coords(text: Column) -> Column:
     """LINESTRING text to ``array<struct<x: double, y: double>>``; null if any position can't be read."""
-    inner = F.regexp_extract(text, LINE, 1)
-    coords = F.transform(
-        F.split(inner, ","),
-        lambda p: F.struct(_ordinate(F.split(F.trim(p), r"\s+"), 1).alias("x"), _ordinate(F.split(F.trim(p), r"\s+"), 2).alias("y")),
-    )
-    bad = F.exists(coords, lambda c: c.x.isNull() | c.y.isNull() | F.isnan(c.x) | F.isnan(c.y) | (F.abs(c.x) == float("inf")) | (F.abs(c.y) == float("inf")))
-    return F.when((inner != "") & ~bad & (F.size(coords) >= 2), coords)
+    return let(_positions(F.regexp_extract(text, LINE, 1)), lambda c: F.when((F.size(c) >= 2) & F.forall(c, lambda v: F.coalesce(_finite(v), F.lit(False))), c))
 
 
 def point_xy(text: Column) -> Column:
     """POINT text to ``struct<x: double, y: double>``; null if it can't be read."""
-    words = F.split(F.trim(F.regexp_extract(text, POINT, 1)), r"\s+")
-    xy = F.struct(_ordinate(words, 1).alias("x"), _ordinate(words, 2).alias("y"))
-    finite = (F.abs(xy.x) < float("inf")) & (F.abs(xy.y) < float("inf"))
-    return F.when(finite, xy)
+    return let(F.get(_positions(F.regexp_extract(text, POINT, 1)), 0), lambda p: F.when(_finite(p), p))
 
 
 def centimetres(metres: Column) -> Column:
@@ -60,12 +61,5 @@ def polygon_rings(text: Column) -> Column:
     """
     inner = F.regexp_extract(text, PREFIX + r"(?:MULTI)?POLYGON\s*(?:ZM|Z|M)?\s*\(([-+0-9.eE,()\s]*)\)\s*$", 1)
     rings = F.regexp_extract_all(inner, F.lit(r"\(([^()]+)\)"), 1)
-    parsed = F.transform(
-        rings,
-        lambda r: F.transform(
-            F.split(r, ","),
-            lambda p: F.struct(_ordinate(F.split(F.trim(p), r"\s+"), 1).alias("x"), _ordinate(F.split(F.trim(p), r"\s+"), 2).alias("y")),
-        ),
-    )
-    bad = F.exists(parsed, lambda r: F.exists(r, lambda c: c.x.isNull() | c.y.isNull()))
-    return F.when((inner != "") & (F.size(parsed) > 0) & ~bad, parsed)
+    readable = lambda parsed: (F.size(parsed) > 0) & F.forall(parsed, lambda r: F.forall(r, lambda c: F.coalesce(_finite(c), F.lit(False))))
+    return let(F.transform(rings, _positions), lambda parsed: F.when(readable(parsed), parsed))

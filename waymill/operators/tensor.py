@@ -11,10 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once; inside a lambda an outer expression would be once per element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from waymill.functions.expressions import let
 
 
 def total(values: Column) -> Column:

@@ -7,12 +7,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waymill.functions.wkt import line_coords
 
 METADATA = "CRS string, CRS_map string, area_choice string, my_areas array<string>, map struct<CRS: string, CRS_map: string>, user_model struct<max_curb_height: double, min_sidewalk_width: double, crossing_weight_factor: double, walk_bike_preference: string, walk_bike_preference_weight_factor: double>"
-OPERATIONS = "array<array<string>>"
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +76,8 @@ def read_operations(spark: SparkSession, path: str) -> DataFrame:
     operations only, in order of ``step``."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("ops"))
     each = raw.select("file", F.posexplode("ops").alias("step", "o"))
-    field = lambda i: F.get_json_object("o", f"$[{i}]")
-    return each.where(field(3) == "success").select("file", "step", field(0).alias("op"), F.get_json_object("o", "$[1][0]").alias("key"), F.get_json_object("o", "$[1][1]").alias("geometry"), field(2).alias("value"))
+    parts = each.select("file", "step", F.from_json("o", "array<string>").alias("o")).withColumn("target", F.from_json(F.col("o")[1], "array<string>"))
+    return parts.where(F.col("o")[3] == "success").select("file", "step", F.col("o")[0].alias("op"), F.col("target")[0].alias("key"), F.col("target")[1].alias("geometry"), F.col("o")[2].alias("value"))
 
 
 def operation_lists(operations: DataFrame, *keys: str) -> DataFrame:
@@ -92,5 +90,3 @@ def parse_operations(text: str) -> list[tuple]:
     """One stored list on the driver."""
     return [tuple(op) for op in json.loads(text) if op[3] == "success"]
 
-
-EDGE = T.StructType([T.StructField("edge_id", T.LongType()), T.StructField("geometry", T.StringType())])

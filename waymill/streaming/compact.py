@@ -64,8 +64,8 @@ def binary_files(path: str, glob: str = "*") -> Callable[[SparkSession, int], Da
     """A stream over a folder tree of real tiny files, as (file_path, body)."""
 
     def load(spark: SparkSession, max_bytes: int) -> DataFrame:
-        raw = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxBytesPerTrigger", str(max_bytes)).load(path)
-        return raw.select(F.col("path").alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("body"))
+        raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxBytesPerTrigger", str(max_bytes)).load(path)
+        return raw.select(F.col("path").alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
     return load
 
