@@ -243,7 +243,7 @@ class Labeller:
         prose = ~(hidden[starts] | hidden[ends - 1]) if len(starts) else np.zeros(0, bool)
         starts, ends = starts[prose], ends[prose]
         none = {k: np.zeros(0, np.int64) for k in ("text", "language", "words", "begin", "end")} | {"confidence": np.zeros(0)}
-        if not len(starts):
+        if not len(starts) or not self.model.languages:
             return none
         for mark in ".!?":
             breaks[:-1] |= (plane.points == ord(mark)) & ~hidden
@@ -316,11 +316,12 @@ def training_rows(samples: DataFrame, text: str, label: str, most: int) -> tuple
 
 def passages(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", most_samples: int = 20_000, change: float = 12.0) -> DataFrame:
     """(key, given, language, words, confidence, begin, end, prose_words): the passages of every document, each a maximal
-    stretch of prose in one language; begin and end count characters. ``given`` is the document's label as it stands.
+    stretch of prose in one language; begin and end count characters. ``given`` is the document's label as it stands. Repeated
+    documents give repeated rows.
 
     The classifier is fitted on the driver on at most ``most_samples`` rows of ``samples`` (text, lang) and sent to the
     executors; every document is labelled over its whole text in one narrow pass. Documents without prose (null, empty,
-    formulas only) give one row with null language, 0 words and confidence 0. ``change`` is the log-odds cost of one
+    formulas only), and all documents if there are no samples, give one row with null language, 0 words and confidence 0. ``change`` is the log-odds cost of one
     change of language; more makes passages longer.
     """
     model = fit(*training_rows(samples, "text", "lang", most_samples))
