@@ -66,6 +66,18 @@ def _word_grams(points: np.ndarray, orders: Sequence[int]) -> tuple[np.ndarray,
     return (np.concatenate(grams), np.concatenate(places)) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _laid_out(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in a row, each between two border points 0, and the word that each place belongs to."""
+    length = ends - starts + 2
+    at = np.concatenate([[0], np.cumsum(length)])
+    owner = np.repeat(np.arange(len(starts)), length)
+    inner = np.arange(at[-1]) - at[:-1][owner]
+    laid = np.zeros(at[-1], np.uint32)
+    letters = (inner > 0) & (inner < length[owner] - 1)
+    laid[letters] = points[(starts[owner] + inner - 1)[letters]]
+    return laid, owner
+
+
 def word_list(plane: Plane) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lower-case points, starts, ends) of the runs of letters."""
     kind_of, lower = word_tables()
@@ -92,13 +104,7 @@ class Model:
 
     def word_scores(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(summed weights of each word's n-grams, number of its n-grams)."""
-        length = ends - starts + 2
-        at = np.concatenate([[0], np.cumsum(length)])
-        owner = np.repeat(np.arange(len(starts)), length)
-        inner = np.arange(at[-1]) - at[:-1][owner]
-        laid = np.zeros(at[-1], np.uint32)
-        letters = (inner > 0) & (inner < length[owner] - 1)
-        laid[letters] = points[(starts[owner] + inner - 1)[letters]]
+        laid, owner = _laid_out(points, starts, ends)
         grams, places = _word_grams(laid, self.orders)
         where = np.minimum(np.searchsorted(self.grams, grams), max(0, len(self.grams) - 1))
         owners = owner[places]
@@ -135,11 +141,12 @@ def fit(
         return blank
     rng = np.random.default_rng(seed)
     text_of = np.searchsorted(plane.bounds, starts, "right") - 1
-    word_grams = []
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        word_grams.append(_word_grams(np.concatenate([[0], points[s:e], [0]]).astype(np.uint32), orders)[0])
-    grams, inverse = np.unique(np.concatenate(word_grams), return_inverse=True)
-    split = np.split(inverse, np.cumsum([len(g) for g in word_grams])[:-1])
+    laid, owner = _laid_out(points, starts, ends)
+    hashes, places = _word_grams(laid, orders)
+    grams, inverse = np.unique(hashes, return_inverse=True)
+    of_word = owner[places]
+    by_word = np.argsort(of_word, kind="stable")
+    split = np.split(inverse[by_word], np.cumsum(np.bincount(of_word, minlength=len(starts)))[:-1])
     first_word = np.searchsorted(text_of, np.arange(len(texts) + 1))
     seen = np.zeros(len(grams))
     for t in range(len(texts)):

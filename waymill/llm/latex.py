@@ -27,14 +27,16 @@ TECHNICAL = {
 ASIDE = frozenset("footnote footnotetext thanks caption title author date section section* subsection subsection* subsubsection chapter paragraph marginpar item".split())
 
 TOKEN = re.compile(r"%[^\n]*|\\[a-zA-Z]+\*?|\\.|\$\$?|[{}]|\n[ \t\r]*\n", re.S)
+FORMULA = re.compile(r"\\.|\$\$?|\n[ \t\r]*\n", re.S)
 GAP = re.compile(r"[ \t]*")
+WITHIN = {o: re.compile(r"\\.|%[^\n]*|\n[ \t\r]*\n|[" + re.escape(o + c) + "]", re.S) for o, c in ("{}", "[]")}
 STAR = re.compile(r"\\[a-zA-Z@]+|\\.", re.S)
 
 
 def _group(text: str, at: int, opening: str, closing: str) -> int:
     """End of the balanced group that opens at ``at``; the end of its paragraph if it isn't closed."""
     depth = 0
-    for match in re.compile(r"\\.|%[^\n]*|\n[ \t\r]*\n|" + re.escape(opening) + "|" + re.escape(closing), re.S).finditer(text, at):
+    for match in WITHIN[opening].finditer(text, at):
         token = match.group()
         if token == opening:
             depth += 1
@@ -135,7 +137,7 @@ def not_prose(text: str) -> tuple[list[int], list[int], list[int]]:
 
 def _formula(text: str, at: int, sign: str) -> int:
     """Past the formula that ``sign`` opened before ``at``; it ends with its paragraph at the latest."""
-    for match in re.compile(r"\\.|\$\$?|\n[ \t\r]*\n", re.S).finditer(text, at):
+    for match in FORMULA.finditer(text, at):
         token = match.group()
         if token[0] == "$":
             return match.end() if token == sign or sign == "$$" else match.start() + 1
