@@ -77,7 +77,7 @@ def test_walk_tolerance_is_relative_to_the_current_place(spark):
 def test_long_routes_fold_alike(spark):
     rows = [step("r", k, f"LINESTRING ({k} 0, {k + 1} 0)" if k % 3 else f"LINESTRING ({k + 1} 0, {k} 0)") for k in range(60)]
     joined = [features.walked(features.route_steps(steps(spark, rows)), features.trip_ends(ends(spark, [(1, "r", "origin_node", "POINT (0 0)"), (2, "r", "destination_node", "POINT (60 0)")])), long_route=n) for n in (1000, 10)]
-    results = [sorted((r["step_id"], r["cx"], r["cy"]) for r in df.collect()) for df in joined]
+    results = [sorted((r["k"], r["w"]["cx"], r["w"]["cy"]) for r in df.collect()) for df in joined]
     assert results[0] == results[1] == [(k, float(k + 1), 0.0) for k in range(60)]
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymill.functions.expressions import let
 from waymill.functions.wkt import line_coords, point_xy
 from waymill.operators.network import number
 
@@ -47,36 +47,49 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= ABSOLUTE + RELATIVE * F.abs(b)
 
 
+STEP = ("step_id", "x1", "y1", "x2", "y2", "crossing", "path_type", "length", "width", "curb")
+WALKED = "array<struct<step_id:int,x1:double,y1:double,x2:double,y2:double,crossing:double,path_type:double,length:double,width:double,curb:double,cx:double,cy:double>>"
+
+
 def walked(steps: DataFrame, ends: DataFrame, *, long_route: int = LONG_ROUTE) -> DataFrame:
-    """Steps with the trip's ends and the place reached after each step (cx, cy).
+    """(route_id, k, ox, oy, dx, dy, w): the steps of each route in order with their number k from 0, the trip's ends, and
+    the step's columns w with the place reached after it (w.cx, w.cy).
 
     From the origin node on: a step that starts close to the current place leads to its end, any other to its start.
     The place depends on all steps before, so the steps of a route are folded in order: as an array expression, and
     for routes of more than ``long_route`` steps in NumPy, where the fold's cost stays linear.
     """
-    joined = steps.join(ends, "route_id")
-    arrays = joined.groupBy("route_id", "ox", "oy").agg(F.array_sort(F.collect_list(F.struct("step_id", "x1", "y1", "x2", "y2"))).alias("s"))
+    arrays = steps.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct(*STEP))).alias("s")).join(ends, "route_id")
 
     def follow(state: Column, s: Column) -> Column:
-        here = F.when(close(s.x1, state.cx) & close(s.y1, state.cy), F.struct(s.x2.alias("cx"), s.y2.alias("cy"))).otherwise(F.struct(s.x1.alias("cx"), s.y1.alias("cy")))
-        return F.struct(here.cx.alias("cx"), here.cy.alias("cy"), F.concat(state.out, F.array(F.struct(s.step_id.alias("step_id"), here.cx.alias("cx"), here.cy.alias("cy")))).alias("out"))
+        def placed(near: Column) -> Column:
+            cx, cy = F.when(near, s.x2).otherwise(s.x1), F.when(near, s.y2).otherwise(s.y1)
+            return F.struct(cx.alias("cx"), cy.alias("cy"))
+
+        def moved(here: Column) -> Column:
+            step = F.struct(*[s[c].alias(c) for c in STEP], here.cx.alias("cx"), here.cy.alias("cy"))
+            return F.struct(here.cx.alias("cx"), here.cy.alias("cy"), F.concat(state.out, F.array(step)).alias("out"))
 
-    start = F.struct(F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.array().cast("array<struct<step_id:int,cx:double,cy:double>>").alias("out"))
-    short = arrays.where(F.size("s") <= long_route).select("route_id", F.explode(F.aggregate("s", start, follow).out).alias("w")).select("route_id", "w.step_id", "w.cx", "w.cy")
+        return let(let(close(s.x1, state.cx) & close(s.y1, state.cy), placed), moved)
+
+    start = F.struct(F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.array().cast(WALKED).alias("out"))
+    trip = ("route_id", "ox", "oy", "dx", "dy")
+    short = arrays.where(F.size("s") <= long_route).select(*trip, F.aggregate("s", start, follow, lambda x: x.out).alias("w"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for route, ox, oy, s in batch.itertuples(index=False):
-                cx, cy, out = ox, oy, []
+            walks = []
+            for ox, oy, s in zip(batch["ox"], batch["oy"], batch["s"], strict=True):
+                cx, cy, walk = ox, oy, []
                 for p in s:
                     near = abs(p["x1"] - cx) <= ABSOLUTE + RELATIVE * abs(cx) and abs(p["y1"] - cy) <= ABSOLUTE + RELATIVE * abs(cy)
                     cx, cy = (p["x2"], p["y2"]) if near else (p["x1"], p["y1"])
-                    out.append((cx, cy))
-                places = np.array(out)
-                yield pd.DataFrame({"route_id": route, "step_id": np.array([p["step_id"] for p in s], np.int32), "cx": places[:, 0], "cy": places[:, 1]})
+                    walk.append({**{c: p[c] for c in STEP}, "cx": cx, "cy": cy})
+                walks.append(walk)
+            yield batch[list(trip)].assign(w=walks)
 
-    long = arrays.where(F.size("s") > long_route).mapInPandas(fold, "route_id string, step_id int, cx double, cy double")
-    return joined.join(short.unionByName(long), ["route_id", "step_id"])
+    long = arrays.where(F.size("s") > long_route).mapInPandas(fold, f"route_id string, ox double, oy double, dx double, dy double, w {WALKED}")
+    return short.unionByName(long).select(*trip, F.posexplode("w").alias("k", "w"))
 
 
 def feature_vectors(route_edges: DataFrame, start_end: DataFrame) -> DataFrame:
@@ -84,9 +97,9 @@ def feature_vectors(route_edges: DataFrame, start_end: DataFrame) -> DataFrame:
     node, destination node, place reached. ``step_id`` is numbered anew from 0. Routes without both end points are
     left out; ``routes_without_ends`` lists them."""
     full = walked(route_steps(route_edges), trip_ends(start_end))
-    slots = ("x1", "y1", "x2", "y2", "crossing", "path_type", "length", "width", "curb", "ox", "oy", "dx", "dy", "cx", "cy")
-    order = Window.partitionBy("route_id").orderBy("step_id")
-    return full.select("route_id", (F.row_number().over(order) - 1).alias("step_id"), F.array(*slots).alias("feature_vec"))
+    w = lambda *names: [F.col(f"w.{c}") for c in names]
+    vector = F.array(*w("x1", "y1", "x2", "y2", "crossing", "path_type", "length", "width", "curb"), "ox", "oy", "dx", "dy", *w("cx", "cy"))
+    return full.select("route_id", F.col("k").alias("step_id"), vector.alias("feature_vec"))
 
 
 def routes_without_ends(route_edges: DataFrame, start_end: DataFrame) -> DataFrame:
