@@ -16,14 +16,46 @@ from waymill.operators.network import cheapest_arcs, directed_arcs, selected
 from waymill.session import checkpointed
 
 
+def local_forest(links: DataFrame, *, most_nodes: int = 500_000) -> DataFrame:
+    """Links (u, v) with the same components and fewer hops: each task joins the links it sees into trees and gives every
+    node's link to its tree's smallest node. A task holds at most about ``most_nodes`` nodes at a time."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            top = node
+            while (above := parent.setdefault(top, top)) != top:
+                top = above
+            while node != top:
+                parent[node], node = top, parent[node]
+            return top
+
+        def stars() -> pa.RecordBatch:
+            found = [(node, top) for node in list(parent) if (top := root(node)) != node]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                parent[max(a, b)] = min(a, b)
+            if len(parent) > most_nodes:
+                yield stars()
+        yield stars()
+
+    return links.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).mapInArrow(contract, "u bigint, v bigint")
+
+
 def components(pairs: DataFrame, nodes: DataFrame | None = None, *, most_rounds: int = 100) -> DataFrame:
-    """(node, component): the component of each node of undirected ``pairs`` (u, v), named by its smallest node.
+    """(node, component): the component of each node of undirected ``pairs`` (u, v: integers), named by its smallest node.
 
     Alternating large and small stars: every round hangs nodes below the smallest node in sight, so even long chains
     take a number of rounds logarithmic in their length. Links stay in tables throughout; only their count and hash
     come to the driver. ``nodes`` (node) adds nodes without links. Each round is cut by a reliable checkpoint.
     """
-    links = checkpointed(pairs.select(F.col("u"), F.col("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    known = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
+    links = checkpointed(local_forest(known).distinct())
     every = pairs.select(F.explode(F.array("u", "v")).alias("node")).where(F.col("node").isNotNull())
     every = (every if nodes is None else every.unionAll(nodes.select("node"))).distinct()
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
