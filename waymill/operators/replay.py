@@ -22,11 +22,11 @@ def replay_buffer(steps: DataFrame, *, length: int = 10) -> DataFrame:
 
     state: the vectors of the last ``length`` steps before, oldest first, filled up at the end with zeros; next_state the
     same with the current one; is_done on a route's last step. Exactly repeated steps count once; a step without a
-    vector is none, a null slot is 0. One shuffle and one sort serve all columns; the frame holds ``length`` rows, so a long route needs
-    no more memory than a short one.
+    vector is none, a null slot is 0. One shuffle by route serves the removal of repeats and all windows, which share
+    one sort; the frame holds ``length`` rows, so a long route needs no more memory than a short one.
     """
     clean = F.transform("feature_vec", lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
-    known = steps.where(F.col("feature_vec").isNotNull() & F.col("route_id").isNotNull()).select("route_id", "step_id", clean.alias("action")).distinct()
+    known = steps.where(F.col("feature_vec").isNotNull() & F.col("route_id").isNotNull()).select("route_id", "step_id", clean.alias("action")).repartition("route_id").distinct()
     order = Window.partitionBy("route_id").orderBy("step_id", "action")
     before, until = F.collect_list("action").over(order.rowsBetween(-length, -1)), F.collect_list("action").over(order.rowsBetween(1 - length, 0))
     framed = known.select("route_id", "step_id", "action", before.alias("b"), until.alias("u"), F.lead("step_id").over(order).isNull().alias("is_done"))
