@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 import pytest
@@ -44,6 +45,13 @@ def test_prose(text, want):
     assert prose(text).replace("\\", "").strip() == want
 
 
+@pytest.mark.parametrize("piece", ["\\(", "\\(a\\)", "\\[", "$", "$$", "{", "}", "\\cite{", "\\cite[", "\\def", "\\def\\x", "\\begin{equation}", "\\begin{", "\\footnote{a ", "%", "\\", "\n\n", "\\(\n\n", "\\newcommand{\\a", "word "])
+def test_long_odd_texts_take_linear_time(piece):
+    began = time.process_time()
+    not_prose(piece * 100_000)
+    assert time.process_time() - began < 5
+
+
 def model():
     texts, labels = [], []
     for lang, text in SAMPLES.items():

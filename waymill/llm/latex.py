@@ -28,6 +28,7 @@ ASIDE = frozenset("footnote footnotetext thanks caption title author date sectio
 
 TOKEN = re.compile(r"%[^\n]*|\\[a-zA-Z]+\*?|\\.|\$\$?|[{}]|\n[ \t\r]*\n", re.S)
 FORMULA = re.compile(r"\\.|\$\$?|\n[ \t\r]*\n", re.S)
+CLOSING = {c: re.compile(re.escape(c) + r"|\n[ \t\r]*\n") for c in (r"\)", r"\]")}
 GAP = re.compile(r"[ \t]*")
 WITHIN = {o: re.compile(r"\\.|%[^\n]*|\n[ \t\r]*\n|[" + re.escape(o + c) + "]", re.S) for o, c in ("{}", "[]")}
 STAR = re.compile(r"\\[a-zA-Z@]+|\\.", re.S)
@@ -117,8 +118,8 @@ def not_prose(text: str) -> tuple[list[int], list[int], list[int]]:
                 elif name == "begin" and environment in WITH_ARGUMENT:
                     at = _arguments(text, at, 1)
             elif name == "def":
-                brace = text.find("{", at)
-                at = _group(text, brace, "{", "}") if 0 <= brace < at + 200 else at
+                brace = text.find("{", at, at + 200)  # past the macro's name and parameters
+                at = _group(text, brace, "{", "}") if brace >= 0 else at
             elif name in ASIDE:
                 breaks.append(start)
                 at = _options(text, at)
@@ -147,7 +148,6 @@ def _formula(text: str, at: int, sign: str) -> int:
 
 
 def _closed(text: str, at: int, closing: str) -> int:
-    stop = text.find(closing, at)
-    end = len(text) if stop < 0 else stop + len(closing)
-    paragraph = text.find("\n\n", at, end)
-    return end if paragraph < 0 else paragraph
+    """Past ``closing``; a formula that isn't closed ends with its paragraph."""
+    match = CLOSING[closing].search(text, at)
+    return len(text) if not match else match.end() if match.group() == closing else match.start()

@@ -16,7 +16,10 @@ BASE = 0x9E3779B97F4A7C15
 #: Longest run that is hashed; longer ones are handled as text, since the low bits of long polynomials are weak.
 HASHED = 64
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Code points hashed at a time, so that a very long text needs no more memory for its hashes than a short one.
+BLOCK = 1 << 20
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,14 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
+    """At least ``n`` powers of the base and of its inverse; one table per process, which grows."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = 1 << max(16, int(n).bit_length())
         base = np.full(size, BASE, np.uint64)
         back = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
         base[0] = back[0] = 1
-        _POWERS[size] = (np.cumprod(base), np.cumprod(back))
-    return _POWERS[size]
+        _POWERS[:] = [(np.cumprod(base), np.cumprod(back))]
+    return _POWERS[0]
 
 
 def slices(texts: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
@@ -83,7 +86,21 @@ class Plane:
 
 
 def run_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs points[start:end], the same for equal runs wherever they stand."""
+    """64-bit hashes of the runs points[start:end], the same for equal runs wherever they stand. Starts ascend."""
+    if len(points) <= BLOCK:
+        return _hashes(points, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(starts, low + BLOCK, "left"))
+        high = int(ends[at:to].max())
+        out[at:to] = _hashes(points[low:high], starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
+def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers(len(points) + 1)
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=sums[1:])
