@@ -1,3 +1,6 @@
+import os
+import time
+
 import pytest
 
 from waymill.streaming.compact import RECORD, binary_files, compact, sidecar_records, table_of_files
@@ -75,3 +78,38 @@ def test_folder_of_tiny_files(spark, tmp_path):
     sealed = compact(spark, binary_files(str(tmp_path / "tiny"), "*.csv"), workdir=str(tmp_path / "w"))
     assert sealed.count() == 60
     assert len(list((tmp_path / "w/sealed").glob("part-*"))) <= 4
+
+
+@pytest.mark.parametrize("kind", ["folder", "table", "one file of a table"])
+def test_late_files_of_old_modification_time_are_taken(spark, tmp_path, kind):
+    place, work, now = tmp_path / "in", str(tmp_path / "work"), time.time()
+    place.mkdir()
+
+    def deliver(number, days):
+        line = f"origin;POINT ({number} 1)"
+        if kind == "folder":
+            file = place / f"route_m1_walk_{number}_start_end.csv"
+            file.write_text(line)
+        else:
+            write(spark, str(tmp_path / f"one_{number}"), [(number, NAME.format(number, ".csv"), 1, line, None)])
+            file = place / f"part-{number}.parquet"
+            next((tmp_path / f"one_{number}").glob("part-*.parquet")).rename(file)
+        os.utime(file, (now - days * 86400, now - days * 86400))
+
+    def taken():
+        if kind == "folder":
+            source = binary_files(str(place), "*.csv")
+        elif kind == "table":
+            source = table_of_files(str(place))
+        else:  # the stream of a single file watches its folder for that name
+            source = table_of_files(str(place / f"part-{newest}.parquet"))
+        return {r["route_no"] for r in compact(spark, source, workdir=work).collect()}
+
+    newest = 1
+    deliver(1, 0)
+    deliver(2, 30)
+    assert taken() == ({1} if kind.startswith("one") else {1, 2})
+    newest = 5
+    for number, days in ((3, 0), (4, 6), (5, 30), (6, 20_000)):
+        deliver(number, days)
+    assert taken() == ({1, 5} if kind.startswith("one") else {1, 2, 3, 4, 5, 6})

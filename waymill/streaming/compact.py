@@ -20,6 +20,10 @@ from waymill.session import scratch_path
 #: The labels of a sidecar record.
 LABELS = ("origin", "destination", "origin_node", "destination_node")
 
+#: Beyond any real age: a file is new if its path is not in the checkpoint, however old it is. Spark's default of 7 days
+#: would leave out files that arrive late with an old modification time.
+MAX_FILE_AGE = "1000000d"
+
 FILES = T.StructType(
     [
         T.StructField("file_id", T.LongType()),
@@ -64,7 +68,7 @@ def binary_files(path: str, glob: str = "*") -> Callable[[SparkSession, int], Da
     """A stream over a folder tree of real tiny files, as (file_path, body)."""
 
     def load(spark: SparkSession, max_bytes: int) -> DataFrame:
-        raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxBytesPerTrigger", str(max_bytes)).load(path)
+        raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFileAge", MAX_FILE_AGE).option("maxBytesPerTrigger", str(max_bytes)).load(path)
         return raw.select(F.col("path").alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
     return load
@@ -78,8 +82,8 @@ def table_of_files(path: str, schema: T.StructType = FILES) -> Callable[[SparkSe
         status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
         if status.isFile():  # a stream watches folders: its folder then, with the one name
             folder, _, name = path.rpartition("/")
-            return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).option("pathGlobFilter", name).parquet(folder)
-        return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(path)
+            return spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE).option("maxBytesPerTrigger", str(max_bytes)).option("pathGlobFilter", name).parquet(folder)
+        return spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE).option("maxBytesPerTrigger", str(max_bytes)).parquet(path)
 
     return load
 
