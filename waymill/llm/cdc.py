@@ -1,15 +1,15 @@
-"""Overlap of records across splits by content-defined chunks.
-
-A record is an ordered list of steps, each a numeric vector. Its normalised form is a stream of symbols: null and NaN
-slots are 0 and every slot is rounded to cells. A rolling (gear) hash over the symbols cuts the stream where its low
-bits are zero, so that a cut depends on the content next to it only and finds its way back after an insertion. Chunk
-digests are joined across splits, and the lengths of shared chunks are summed into per-record overlap fractions.
-
-Two settings are used. ``exact_overlap`` cuts the stream of a whole record into chunks of several steps: it measures
-how much of a record is in the other split unchanged. ``near_overlap`` looks for matches within a tolerance, where
-any single step counts; there a chunk never goes past a step, and the rolling hash digests the slots of the step's
-anchor. Slots near a cell's border are looked up in both cells, so no step within the tolerance is missed; whether
-it is within the tolerance is checked on all slots.
+"""Overlap of records across splits by digests of steps and by content-defined chunks.
+
+A record is an ordered list of steps, each a numeric vector; null and NaN slots are 0. There are two operators.
+
+``exact_overlap`` measures how much of a record is in the other split unchanged. A rolling (gear) hash over the record's
+steps cuts it where its low bits are zero, so that a cut depends on the content next to it only and finds its way back
+after an insertion. Chunk digests are joined across splits, and the lengths of shared chunks are summed into fractions.
+
+``near_overlap`` looks for matches within a tolerance, where any single step counts; it cuts nothing. In place of chunks
+each step has a fixed digest: a gear hash over the cells of its anchor slots, the other slots are not hashed. Slots near
+a cell's border are looked up in both cells, so no step within the tolerance is missed; whether it is within the
+tolerance is checked on all slots.
 """
 
 from __future__ import annotations
