@@ -113,3 +113,18 @@ def test_late_files_of_old_modification_time_are_taken(spark, tmp_path, kind):
     for number, days in ((3, 0), (4, 6), (5, 30), (6, 20_000)):
         deliver(number, days)
     assert taken() == ({1, 5} if kind.startswith("one") else {1, 2, 3, 4, 5, 6})
+
+
+def test_batches_are_bounded_without_a_given_bound(spark, tmp_path):
+    folder, each = tmp_path / "tiny", 300
+    folder.mkdir()
+    for k in range(6):
+        (folder / f"route_m1_walk_{k}_start_end.csv").write_text(f"origin;POINT ({k} 1)".ljust(each))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{2 * each // spark.sparkContext.defaultParallelism}b")  # a wave is two files
+        sealed = compact(spark, binary_files(str(folder), "*.csv"), workdir=str(tmp_path / "w"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted(r["route_no"] for r in sealed.collect()) == list(range(6))
+    assert len(list((tmp_path / "w/landing").iterdir())) == 1 + 3

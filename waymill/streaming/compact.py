@@ -88,6 +88,12 @@ def table_of_files(path: str, schema: T.StructType = FILES) -> Callable[[SparkSe
     return load
 
 
+def wave_bytes(spark: SparkSession) -> int:
+    """What one wave of tasks reads: a file partition for every core of the session."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(1, spark.sparkContext.defaultParallelism) * int(size)
+
+
 def ingest(
     spark: SparkSession,
     source: Callable[[SparkSession, int], DataFrame],
@@ -95,10 +101,13 @@ def ingest(
     landing: str,
     checkpoint: str,
     *,
-    max_bytes: int = 64 << 30,
+    max_bytes: int | None = None,
 ) -> None:
     """Take all files not yet seen by ``checkpoint`` into ``landing``; returns when none is left.
 
+    A batch has at most about ``max_bytes`` (``wave_bytes``, if not given), but at least one file: a larger file is a
+    batch of its own.
+
     May be called again at any time, after a failure too: the checkpoint knows which files and which batch are open.
     """
 
@@ -106,7 +115,7 @@ def ingest(
         # the same batch id always names the same files, so overwriting its folder makes a retry harmless
         batch.dropDuplicates().hint("rebalance").write.mode("overwrite").parquet(f"{landing}/batch={batch_id}")
 
-    query = parse(source(spark, max_bytes)).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = parse(source(spark, max_bytes or wave_bytes(spark))).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -131,7 +140,7 @@ RECORD = T.StructType(
 )
 
 
-def compact(spark: SparkSession, source: Callable[[SparkSession, int], DataFrame], *, workdir: str | None = None, max_bytes: int = 64 << 30) -> DataFrame:
+def compact(spark: SparkSession, source: Callable[[SparkSession, int], DataFrame], *, workdir: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """Sidecar files from ``source`` to one sealed table of distinct records below ``workdir`` (the shared folder if
     not given). A second call with the same ``workdir`` takes in new files only and seals again."""
     root = workdir or scratch_path(spark, "compact")
