@@ -116,3 +116,42 @@ def test_random_points_and_generated_routes(spark):
     for trip in done:
         steps = routes.where(F.col("id") == trip).orderBy("step_id").collect()
         assert all(a["dst"] == b["src"] for a, b in zip(steps, steps[1:]))
+
+
+def test_many_profiles_at_once_equal_one_after_the_other(spark, data):
+    from waymill.plans import network_queries as q
+
+    edges, trips = q._profiled(spark, data).localCheckpoint(), q._trips(spark, data).localCheckpoint()
+    profiles = [r[0] for r in trips.groupBy("profile_id").count().orderBy(F.desc("count"), "profile_id").limit(4).collect()]
+    assert "um_std" in profiles and len(profiles) == 4
+    routes, errors = q.generated_routes(spark, data).localCheckpoint(), q.route_errors(spark, data).localCheckpoint()
+    assert {r[0] for r in routes.select("id").union(errors.select("id")).collect()} == {r[0] for r in trips.select("id").collect()}
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for profile in profiles:
+        own = trips.where(F.col("profile_id") == profile)
+        alone = graph.generate_routes(edges.where(F.col("profile_id") == profile), own)
+        ids = own.select("id").distinct()
+        for got, want in zip((routes, errors), alone, strict=True):
+            assert rows(got.join(ids, "id", "left_semi")) == rows(want.select(*got.columns))
+
+
+def test_profiles_have_their_own_network_and_weights(spark):
+    # a short way and a way round; "b" may not take the short one, "c" weighs it more; larger maps go by joins
+    short, leg1, leg2 = [(1, 0, 10), (2, 0, 20), (3, 20, 10)]
+    edges = []
+    for name, include, cost in (("a", 1, 0.1), ("b", 0, 0.1), ("c", 1, 0.9)):
+        for (i, u, v), flag, w in ((short, include, cost), (leg1, 1, 0.3), (leg2, 1, 0.3)):
+            edges.append((name, "m", i, pack(u, u), pack(v, v), None, flag, w))
+    e = spark.createDataFrame(edges, "profile_id string, map_id string, edge_id bigint, src bigint, dst bigint, bikepath_id string, include int, my_weight double")
+    od = spark.createDataFrame([(p, f"t{p}", role, at, at) for p in "abcx" for role, at in (("origin", 1), ("destination", 11))], "profile_id string, id string, role string, x bigint, y bigint")
+    routes, errors = graph.generate_routes(e, od, by=["profile_id"])
+    got = {}
+    for r in routes.orderBy("id", "step_id").collect():
+        got.setdefault(r["id"], []).append(r["edge_id"])
+    assert got == {"ta": [1], "tb": [2, 3], "tc": [2, 3]}
+    assert [tuple(r) for r in errors.collect()] == [("tx", "no node")]
+    pairs = spark.createDataFrame([(p, f"t{p}", "m", pack(0, 0), pack(10, 10)) for p in "abc"], "profile_id string, id string, map_id string, origin bigint, destination bigint")
+    arcs = network.directed_arcs(network.selected(e))
+    for most in (1000, 1):
+        paths, _ = graph.shortest_paths(arcs, pairs, by=["profile_id"], most_arcs=most)
+        assert {r["id"]: (r["cost"], r["hops"]) for r in paths.collect()} == {"ta": (100_000, 1), "tb": (600_000, 2), "tc": (600_000, 2)}

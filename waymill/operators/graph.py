@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from waymill.functions.kdtree import SplitTree, chord, unit_vectors
 from waymill.operators.network import cheapest_arcs, directed_arcs, selected
 from waymill.session import checkpointed
 
 
-def local_forest(links: DataFrame, *, most_nodes: int = 500_000) -> DataFrame:
-    """Links (u, v) with the same components and fewer hops: each task joins the links it sees into trees and gives every
-    node's link to its tree's smallest node. A task holds at most about ``most_nodes`` nodes at a time."""
+def local_forest(links: DataFrame, *, by: Sequence[str] = (), most_nodes: int = 500_000) -> DataFrame:
+    """Links (``by``, u, v) with the same components and fewer hops: each task joins the links it sees into trees and gives
+    every node's link to its tree's smallest node. A task holds at most about ``most_nodes`` nodes at a time."""
+    kinds = [links.schema[c].dataType for c in by]
+    schema = T.StructType([*[T.StructField(c, kind) for c, kind in zip(by, kinds, strict=True)], T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+    arrow = [to_arrow_type(kind) for kind in kinds]
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        parent: dict = {}
 
-        def root(node: int) -> int:
+        def root(node):
             top = node
             while (above := parent.setdefault(top, top)) != top:
                 top = above
@@ -34,46 +39,53 @@ def local_forest(links: DataFrame, *, most_nodes: int = 500_000) -> DataFrame:
         def stars() -> pa.RecordBatch:
             found = [(node, top) for node in list(parent) if (top := root(node)) != node]
             parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
+            keys = [pa.array([a[k] for a, _ in found], kind) for k, kind in enumerate(arrow)]
+            if by:
+                found = [(a[-1], b[-1]) for a, b in found]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=[*by, "u", "v"])
 
         for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            *keys, us, vs = [c.to_pylist() for c in batch.columns]
+            if by:  # a node is known by its group and number
+                us, vs = list(zip(*keys, us, strict=True)), list(zip(*keys, vs, strict=True))
+            for u, v in zip(us, vs, strict=True):
                 a, b = root(u), root(v)
                 parent[max(a, b)] = min(a, b)
             if len(parent) > most_nodes:
                 yield stars()
         yield stars()
 
-    return links.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).mapInArrow(contract, "u bigint, v bigint")
+    return links.select(*by, F.col("u").cast("bigint"), F.col("v").cast("bigint")).mapInArrow(contract, schema)
 
 
-def components(pairs: DataFrame, nodes: DataFrame | None = None, *, most_rounds: int = 100) -> DataFrame:
-    """(node, component): the component of each node of undirected ``pairs`` (u, v: integers), named by its smallest node.
+def components(pairs: DataFrame, nodes: DataFrame | None = None, *, by: Sequence[str] = (), most_rounds: int = 100) -> DataFrame:
+    """(``by``, node, component): the component of each node of undirected ``pairs`` (``by``, u, v: integers), named by its
+    smallest node. Each value of ``by`` (not null), say a profile, is a graph of its own.
 
     Alternating large and small stars: every round hangs nodes below the smallest node in sight, so even long chains
     take a number of rounds logarithmic in their length. Links stay in tables throughout; only their count and hash
-    come to the driver. ``nodes`` (node) adds nodes without links. Each round is cut by a reliable checkpoint.
+    come to the driver. ``nodes`` (``by``, node) adds nodes without links. Each round is cut by a reliable checkpoint.
     """
     known = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-    links = checkpointed(local_forest(known).distinct())
-    every = pairs.select(F.explode(F.array("u", "v")).alias("node")).where(F.col("node").isNotNull())
-    every = (every if nodes is None else every.unionAll(nodes.select("node"))).distinct()
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    links = checkpointed(local_forest(known, by=by).distinct())
+    every = pairs.select(*by, F.explode(F.array("u", "v")).alias("node")).where(F.col("node").isNotNull())
+    every = (every if nodes is None else every.unionAll(nodes.select(*by, "node"))).distinct()
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first())
     seen = mark(links)
     for _ in range(most_rounds):
-        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
+        both = links.unionAll(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*by, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(low, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        down = large.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy(*by, "u").agg(F.min("v").alias("m"))
+        small = down.join(least, [*by, "u"]).select(*by, F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select(*by, "p.u", "p.v")
         links = checkpointed(small.where(F.col("u") != F.col("v")).distinct())
         now = mark(links)
         if now == seen:
             break
         seen = now
-    top = links.groupBy("u").agg(F.min("v").alias("component"))
-    return every.join(top, every.node == top.u, "left").select("node", F.coalesce("component", "node").alias("component"))
+    top = links.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return every.join(top, [*by, "node"], "left").select(*by, "node", F.coalesce("component", "node").alias("component"))
 
 
 def component_sizes(labelled: DataFrame, *keys: str) -> DataFrame:
@@ -83,13 +95,13 @@ def component_sizes(labelled: DataFrame, *keys: str) -> DataFrame:
     return sizes.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
-def selected_network(edges: DataFrame, *, within: str = "map_id", keep: int = 2) -> DataFrame:
-    """Included edges of the ``keep`` largest components of each map."""
+def selected_network(edges: DataFrame, *, within: str = "map_id", keep: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """Included edges of the ``keep`` largest components of each map (and of each ``by``)."""
     chosen = selected(edges)
-    labelled = components(chosen.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    own = chosen.select(within, F.explode(F.array("src", "dst")).alias("node")).distinct().join(labelled, "node")
-    large = component_sizes(own, within).where(F.col("rank") <= keep)
-    return chosen.join(labelled.withColumnRenamed("node", "src"), "src").join(large.select(within, "component"), [within, "component"], "left_semi")
+    labelled = components(chosen.select(*by, F.col("src").alias("u"), F.col("dst").alias("v")), by=by)
+    own = chosen.select(*by, within, F.explode(F.array("src", "dst")).alias("node")).distinct().join(labelled, [*by, "node"])
+    large = component_sizes(own, *by, within).where(F.col("rank") <= keep)
+    return chosen.join(labelled.withColumnRenamed("node", "src"), [*by, "src"]).join(large.select(*by, within, "component"), [*by, within, "component"], "left_semi")
 
 
 def two_networks(edges: DataFrame, *, within: str = "map_id") -> tuple[DataFrame, DataFrame]:
@@ -97,16 +109,18 @@ def two_networks(edges: DataFrame, *, within: str = "map_id") -> tuple[DataFrame
     return directed_arcs(edges), directed_arcs(selected_network(edges, within=within))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, *, leaf_rows: int = 2048, sample_rows: int = 65_536) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, *, by: Sequence[str] = (), leaf_rows: int = 2048, sample_rows: int = 65_536) -> DataFrame:
     """(id, node, node_x, node_y, d2): of each point (id, x, y) the nearest of ``nodes`` (node, x, y), whole centimetres;
-    ties go to the smallest (x, y). Points have none if there are no nodes.
+    ties go to the smallest (x, y). Points have none if there are no nodes. With ``by``, columns of both tables, only nodes
+    of the point's own values count; ids are distinct over all of them.
 
     Two passes over a split tree fitted on the nodes: the nearest in a point's own leaf bounds the distance, and the
     leaves within that bound are searched in the second pass.
     """
-    nodes = checkpointed(nodes.select("node", "x", "y").distinct())
-    n = nodes.count()
-    sample = nodes.select("x", "y").orderBy(F.xxhash64("x", "y")).limit(sample_rows).toPandas()
+    nodes = checkpointed(nodes.select(*by, "node", "x", "y").distinct())
+    places = checkpointed(nodes.select("node", "x", "y").distinct()) if by else nodes
+    n = places.count()
+    sample = places.select("x", "y").orderBy(F.xxhash64("x", "y")).limit(sample_rows).toPandas()
     tree = SplitTree(unit_vectors(sample["x"].to_numpy(float) / 100, sample["y"].to_numpy(float) / 100), int(np.clip(np.ceil(np.log2(max(1, n / leaf_rows))), 0, 16)))
 
     def spread(reach: str | None):
@@ -124,14 +138,14 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, *, leaf_rows: int = 2048,
 
     def closest(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"id": [], "node": [], "node_x": [], "node_y": [], "d2": []})
+            return pd.DataFrame({"id": left["id"], "node": np.zeros(0, np.int64), "node_x": np.zeros(0, np.int64), "node_y": np.zeros(0, np.int64), "d2": np.zeros(0)})
         right = right.sort_values(["x", "y"])
         nx, ny, out = right["x"].to_numpy(), right["y"].to_numpy(), []
         step = max(1, 4_000_000 // max(1, len(right)))
         for begin in range(0, len(left), step):
             part = left.iloc[begin : begin + step]
             if not len(right):
-                out.append(pd.DataFrame({"id": part["id"], "node": None, "node_x": None, "node_y": None, "d2": float("inf")}))
+                out.append(pd.DataFrame({"id": part["id"].to_numpy(), "node": None, "node_x": None, "node_y": None, "d2": float("inf")}))
                 continue
             dx, dy = part["x"].to_numpy()[:, None] - nx, part["y"].to_numpy()[:, None] - ny
             d2 = dx.astype(float) ** 2 + dy.astype(float) ** 2
@@ -141,11 +155,12 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, *, leaf_rows: int = 2048,
 
     kind = points.schema["id"].dataType.simpleString()
     found = f"id {kind}, node bigint, node_x bigint, node_y bigint, d2 double"
-    dots = points.select("id", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
-    placed = nodes.mapInArrow(spread(None), "node bigint, x bigint, y bigint, leaf int")
-    own = dots.mapInArrow(spread(None), f"id {kind}, x bigint, y bigint, leaf int").groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInPandas(closest, found)
+    own_keys = "".join(f"`{c}` {points.schema[c].dataType.simpleString()}, " for c in by)
+    dots = points.select(*by, "id", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    placed = nodes.mapInArrow(spread(None), own_keys + "node bigint, x bigint, y bigint, leaf int")
+    own = dots.mapInArrow(spread(None), own_keys + f"id {kind}, x bigint, y bigint, leaf int").groupBy(*by, "leaf").cogroup(placed.groupBy(*by, "leaf")).applyInPandas(closest, found)
     bound = dots.join(own.groupBy("id").agg(F.min("d2").alias("d2")), "id")
-    near = bound.mapInArrow(spread("d2"), f"id {kind}, x bigint, y bigint, d2 double, leaf int").groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInPandas(closest, found)
+    near = bound.select(*by, "id", "x", "y", "d2").mapInArrow(spread("d2"), own_keys + f"id {kind}, x bigint, y bigint, d2 double, leaf int").groupBy(*by, "leaf").cogroup(placed.groupBy(*by, "leaf")).applyInPandas(closest, found)
     best = near.where(F.col("node").isNotNull()).groupBy("id").agg(F.min(F.struct("d2", "node_x", "node_y", "node")).alias("m"))
     return best.select("id", "m.node", "m.node_x", "m.node_y", "m.d2")
 
@@ -170,20 +185,31 @@ def heap_tree(adjacency: dict[int, list[tuple[int, int]]], origin: int, wanted:
     return done
 
 
-def shortest_paths(arcs: DataFrame, pairs: DataFrame, *, within: str = "map_id", weight: str = "my_weight", scale: float = 1e6, most_arcs: int = 2_000_000, origins_per_task: int = 256) -> tuple[DataFrame, DataFrame]:
+def _area(by: Sequence[str], within: str) -> Column:
+    """One key for a map, or for a map and ``by``; null where one of them is."""
+    if not by:
+        return F.col(within)
+    whole = F.to_json(F.struct(*by, within))
+    for c in (*by, within):
+        whole = F.when(F.col(c).isNotNull(), whole)
+    return whole
+
+
+def shortest_paths(arcs: DataFrame, pairs: DataFrame, *, within: str = "map_id", by: Sequence[str] = (), weight: str = "my_weight", scale: float = 1e6, most_arcs: int = 2_000_000, origins_per_task: int = 256) -> tuple[DataFrame, DataFrame]:
     """Least-cost paths: (paths, errors) for ``pairs`` (id string, ``within``, origin, destination) over ``arcs``.
 
     ``paths`` (id, cost, hops, path): cost is the sum of weights in whole ``1/scale`` (a missing weight counts 1). Pairs
     with equal ends and pairs without a way go to ``errors`` (id, reason). Arcs of negative weight count 0.
+    With ``by``, columns of both tables, a pair takes only arcs of its own values.
 
     Maps of at most ``most_arcs`` arcs, which a task can hold, are searched by a heap per distinct origin; a map's origins
     are spread over tasks. Larger maps go to ``relaxed_paths``, which needs no node's neighbourhood in one place.
     """
-    best = cheapest_arcs(arcs.select("src", "dst", "edge_id", F.col(weight).alias("w")), "w")
-    best = arcs.select("src", within).distinct().join(best, "src")
-    best = checkpointed(best.select(F.col(within).alias("area"), "src", "dst", F.greatest(F.lit(0), F.round(F.coalesce("weight", F.lit(1.0)) * scale)).cast("bigint").alias("w")))
+    best = cheapest_arcs(arcs.select(*by, "src", "dst", "edge_id", F.col(weight).alias("w")), "w", by=by)
+    best = arcs.select(*by, "src", within).distinct().join(best, [*by, "src"])
+    best = checkpointed(best.select(_area(by, within).alias("area"), "src", "dst", F.greatest(F.lit(0), F.round(F.coalesce("weight", F.lit(1.0)) * scale)).cast("bigint").alias("w")))
     sizes = checkpointed(best.groupBy("area").agg(F.count(F.lit(1)).alias("n_arcs")))
-    asked = checkpointed(pairs.select(F.col("id").cast("string").alias("id"), F.col(within).alias("area"), "origin", "destination"))
+    asked = checkpointed(pairs.select(F.col("id").cast("string").alias("id"), _area(by, within).alias("area"), "origin", "destination"))
     open_ = asked.where(F.col("origin") != F.col("destination")).join(sizes, "area")
     small = open_.where(F.col("n_arcs") <= most_arcs)
     # origins of a map over as many tasks as keep each below `origins_per_task` in the mean; arcs follow them
@@ -220,38 +246,38 @@ def shortest_paths(arcs: DataFrame, pairs: DataFrame, *, within: str = "map_id",
 
 def relaxed_paths(arcs: DataFrame, pairs: DataFrame, *, most_rounds: int = 100_000) -> DataFrame:
     """``shortest_paths`` by rounds of joins: the frontier's distances are carried along arcs (src, dst, w) and improvements
-    kept, until none is left. Rows are one per origin and reached node; the same tie rule as the heap."""
-    origins = pairs.select("origin").distinct()
+    kept, until none is left. Both tables have an ``area``, which no path leaves. Rows are one per area, origin and reached node; the same tie rule as the heap."""
+    origins = pairs.select("area", "origin").distinct()
     none = F.lit(-(1 << 62))
-    reached = checkpointed(origins.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0).cast("bigint").alias("cost"), F.lit(0).cast("bigint").alias("hops"), none.alias("previous")).alias("d")))
+    reached = checkpointed(origins.select("area", "origin", F.col("origin").alias("node"), F.struct(F.lit(0).cast("bigint").alias("cost"), F.lit(0).cast("bigint").alias("hops"), none.alias("previous")).alias("d")))
     frontier = reached
     for _ in range(most_rounds):
-        step = frontier.join(arcs.select(F.col("src").alias("node"), "dst", "w"), "node")
-        step = step.select("origin", F.col("dst").alias("node"), F.struct((F.col("d.cost") + F.col("w")).alias("cost"), (F.col("d.hops") + 1).alias("hops"), F.col("node").alias("previous")).alias("n"))
-        step = step.groupBy("origin", "node").agg(F.min("n").alias("n"))
-        merged = checkpointed(reached.join(step, ["origin", "node"], "full").select("origin", "node", F.least("d", "n").alias("d"), (F.col("d").isNull() | (F.col("n") < F.col("d"))).alias("better")))
+        step = frontier.join(arcs.select("area", F.col("src").alias("node"), "dst", "w"), ["area", "node"])
+        step = step.select("area", "origin", F.col("dst").alias("node"), F.struct((F.col("d.cost") + F.col("w")).alias("cost"), (F.col("d.hops") + 1).alias("hops"), F.col("node").alias("previous")).alias("n"))
+        step = step.groupBy("area", "origin", "node").agg(F.min("n").alias("n"))
+        merged = checkpointed(reached.join(step, ["area", "origin", "node"], "full").select("area", "origin", "node", F.least("d", "n").alias("d"), (F.col("d").isNull() | (F.col("n") < F.col("d"))).alias("better")))
         frontier = merged.where(F.coalesce("better", F.lit(False))).drop("better")
         reached = merged.drop("better")
         if frontier.isEmpty():
             break
-    ends = pairs.select("id", "origin", F.col("destination").alias("node")).join(reached, ["origin", "node"])
-    trace = ends.select("id", "origin", "d.cost", "d.hops", F.col("d.previous").alias("node"), F.array("node").alias("path"))
+    ends = pairs.select("id", "area", "origin", F.col("destination").alias("node")).join(reached, ["area", "origin", "node"])
+    trace = ends.select("id", "area", "origin", "d.cost", "d.hops", F.col("d.previous").alias("node"), F.array("node").alias("path"))
     finished = None
     for _ in range(most_rounds):
         over = trace.where(F.col("node") == none)
         finished = over if finished is None else finished.unionByName(over)
-        trace = checkpointed(trace.where(F.col("node") != none).join(reached, ["origin", "node"]).select("id", "origin", "cost", "hops", F.col("d.previous").alias("node"), F.concat(F.array("node"), "path").alias("path")))
+        trace = checkpointed(trace.where(F.col("node") != none).join(reached, ["area", "origin", "node"]).select("id", "area", "origin", "cost", "hops", F.col("d.previous").alias("node"), F.concat(F.array("node"), "path").alias("path")))
         if trace.isEmpty():
             break
         finished = checkpointed(finished)
     return finished.select("id", "cost", "hops", "path")
 
 
-def path_edges(paths: DataFrame, arcs: DataFrame, *, weight: str = "my_weight") -> DataFrame:
-    """(id, step_id, edge_id, src, dst, weight): the cheapest arc between consecutive nodes of each path."""
-    steps = paths.where(F.size("path") >= 2).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))).alias("step_id", "s"))
-    best = cheapest_arcs(arcs.select("src", "dst", "edge_id", F.col(weight).alias("w")), "w")
-    return steps.select("id", "step_id", "s.src", "s.dst").join(best, ["src", "dst"]).select("id", "step_id", "edge_id", "src", "dst", "weight")
+def path_edges(paths: DataFrame, arcs: DataFrame, *, by: Sequence[str] = (), weight: str = "my_weight") -> DataFrame:
+    """(id, step_id, edge_id, src, dst, weight): the cheapest arc between consecutive nodes of each path (of its ``by``)."""
+    steps = paths.where(F.size("path") >= 2).select(*by, "id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))).alias("step_id", "s"))
+    best = cheapest_arcs(arcs.select(*by, "src", "dst", "edge_id", F.col(weight).alias("w")), "w", by=by)
+    return steps.select(*by, "id", "step_id", "s.src", "s.dst").join(best, [*by, "src", "dst"]).select("id", "step_id", "edge_id", "src", "dst", "weight")
 
 
 def random_od_points(box: DataFrame, n: int, *, seed: int = 1) -> DataFrame:
@@ -265,16 +291,20 @@ def random_od_points(box: DataFrame, n: int, *, seed: int = 1) -> DataFrame:
     return points.select(F.floor(F.col("id") / 2).cast("bigint").alias("route_id"), role.alias("role"), at(unit(0), "min_x", "max_x").alias("x"), at(unit(1), "min_y", "max_y").alias("y"))
 
 
-def generate_routes(edges: DataFrame, od: DataFrame, *, within: str = "map_id") -> tuple[DataFrame, DataFrame]:
-    """Batch route generation: (route edges, errors) for ``od`` (id, role, x, y; whole centimetres) over weighted ``edges``
-    of one profile: selected network, nearest nodes, least-cost paths, edges in travel order."""
-    arcs = checkpointed(directed_arcs(selected_network(edges, within=within)))
-    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node"), within).distinct()
-    nodes = nodes.select("node", within, F.shiftright("node", 32).alias("x"), (F.col("node") - F.shiftleft(F.shiftright("node", 32), 32)).alias("y"))
-    keyed = od.select(F.concat_ws(" ", F.col("id").cast("string"), "role").alias("id"), F.col("id").cast("string").alias("trip"), "role", "x", "y")
-    snapped = keyed.join(nearest_nodes(keyed, nodes), "id", "left")
-    trips = snapped.groupBy("trip").agg(F.max(F.when(F.col("role") == "origin", F.col("node"))).alias("origin"), F.max(F.when(F.col("role") == "destination", F.col("node"))).alias("destination"))
-    home = nodes.groupBy("node").agg(F.min(within).alias(within))
-    trips = trips.join(home, trips.origin == home.node, "left").select(F.col("trip").alias("id"), within, "origin", "destination")
-    paths, errors = shortest_paths(arcs, trips, within=within)
-    return path_edges(paths, arcs), errors
+def generate_routes(edges: DataFrame, od: DataFrame, *, within: str = "map_id", by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Batch route generation: (route edges, errors) for ``od`` (id, role, x, y; whole centimetres) over weighted ``edges``:
+    selected network, nearest nodes, least-cost paths, edges in travel order. The edges are those of one profile or, with
+    ``by``, columns of both tables such as profile_id, of many: each trip then goes over the edges of its own."""
+    edges = edges.select(*by, within, "edge_id", "src", "dst", "bikepath_id", "include", "my_weight")
+    arcs = checkpointed(directed_arcs(selected_network(checkpointed(edges) if by else edges, within=within, by=by)))
+    nodes = arcs.select(*by, F.explode(F.array("src", "dst")).alias("node"), within).distinct()
+    nodes = nodes.select(*by, "node", within, F.shiftright("node", 32).alias("x"), (F.col("node") - F.shiftleft(F.shiftright("node", 32), 32)).alias("y"))
+    keyed = od.select(*by, F.concat_ws(" ", F.col("id").cast("string"), "role").alias("id"), F.col("id").cast("string").alias("trip"), "role", "x", "y")
+    snapped = keyed.join(nearest_nodes(keyed, nodes, by=by), "id", "left")
+    trips = snapped.groupBy(*by, "trip").agg(F.max(F.when(F.col("role") == "origin", F.col("node"))).alias("origin"), F.max(F.when(F.col("role") == "destination", F.col("node"))).alias("destination"))
+    home = nodes.groupBy(*by, F.col("node").alias("origin")).agg(F.min(within).alias(within))
+    trips = trips.join(home, [*by, "origin"], "left").select(*by, F.col("trip").alias("id"), within, "origin", "destination")
+    if by:
+        trips = checkpointed(trips)
+    paths, errors = shortest_paths(arcs, trips, within=within, by=by)
+    return path_edges(paths.join(trips.select(*by, "id"), "id") if by else paths, arcs, by=by), errors

@@ -6,6 +6,8 @@ NaN is turned into null at the door, because NaN compares as larger than everyth
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,10 +116,11 @@ def out_degrees(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("src").agg(F.countDistinct("dst").alias("degree"))
 
 
-def cheapest_arcs(arcs: DataFrame, weight: str = "my_weight") -> DataFrame:
-    """Of the parallel arcs between two nodes the one of least weight (a missing weight counts 1; ties: least edge id)."""
+def cheapest_arcs(arcs: DataFrame, weight: str = "my_weight", *, by: Sequence[str] = ()) -> DataFrame:
+    """Of the parallel arcs between two nodes (of each ``by``) the one of least weight (a missing weight counts 1; ties:
+    least edge id)."""
     cost = F.coalesce(F.col(weight), F.lit(1.0))
-    return arcs.groupBy("src", "dst").agg(F.min(F.struct(cost.alias("w"), "edge_id")).alias("m")).select("src", "dst", F.col("m.edge_id").alias("edge_id"), F.col("m.w").alias("weight"))
+    return arcs.groupBy(*by, "src", "dst").agg(F.min(F.struct(cost.alias("w"), "edge_id")).alias("m")).select(*by, "src", "dst", F.col("m.edge_id").alias("edge_id"), F.col("m.w").alias("weight"))
 
 
 def bounds(edges: DataFrame, *keys: str) -> DataFrame:

@@ -163,23 +163,28 @@ def hash_od_points(spark: SparkSession, d: str) -> DataFrame:
     return graph.random_od_points(network.bounds(table(spark, d, "network_map")), 1000)
 
 
-def _standard(spark: SparkSession, d: str) -> DataFrame:
-    profile = table(spark, d, "user_model").where("profile_id = 'um_std'")
-    return network.weighted(_edges(spark, d), profile, within=("map_id",))
+def _profiled(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of every user model with its include flags and weights."""
+    return network.weighted(_edges(spark, d), table(spark, d, "user_model"), within=("map_id",))
 
 
 def _trips(spark: SparkSession, d: str) -> DataFrame:
-    return _ends(spark, d).where(F.col("coordinates").isin("origin", "destination")).select(F.col("route_id").alias("id"), F.col("coordinates").alias("role"), centimetres(F.col("p.x")).alias("x"), centimetres(F.col("p.y")).alias("y"))
+    """The ends of each stored trip with the profile of its route; the standard user model where no route is stored."""
+    ends = _ends(spark, d).where(F.col("coordinates").isin("origin", "destination"))
+    own = table(spark, d, "route_edges").groupBy("route_id").agg(F.min("profile_id").alias("profile_id"))
+    return ends.join(own, "route_id", "left").select(
+        F.coalesce("profile_id", F.lit("um_std")).alias("profile_id"), F.col("route_id").alias("id"), F.col("coordinates").alias("role"), centimetres(F.col("p.x")).alias("x"), centimetres(F.col("p.y")).alias("y")
+    )
 
 
 def generated_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Least-cost route edges between the ends of all stored trips for the standard user model."""
-    return graph.generate_routes(_standard(spark, d), _trips(spark, d))[0]
+    """Least-cost route edges between the ends of all stored trips, each for the user model of its route."""
+    return graph.generate_routes(_profiled(spark, d), _trips(spark, d), by=("profile_id",))[0]
 
 
 def route_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Trips that give no route, with the reason."""
-    return graph.generate_routes(_standard(spark, d), _trips(spark, d))[1]
+    """Trips that give no route for the user model of their route, with the reason."""
+    return graph.generate_routes(_profiled(spark, d), _trips(spark, d), by=("profile_id",))[1]
 
 
 QUERIES = {
