@@ -155,3 +155,12 @@ def test_profiles_have_their_own_network_and_weights(spark):
     for most in (1000, 1):
         paths, _ = graph.shortest_paths(arcs, pairs, by=["profile_id"], most_arcs=most)
         assert {r["id"]: (r["cost"], r["hops"]) for r in paths.collect()} == {"ta": (100_000, 1), "tb": (600_000, 2), "tc": (600_000, 2)}
+
+
+def test_rounds_that_end_too_early_are_an_error(spark):
+    chain = [(k, k + 1) for k in range(200)]
+    random.Random(3).shuffle(chain)
+    df = spark.createDataFrame(chain, "u bigint, v bigint").repartition(4)
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        graph.components(df, most_rounds=1)
+    assert {r["component"] for r in graph.components(df).collect()} == {0}

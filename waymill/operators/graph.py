@@ -65,6 +65,7 @@ def components(pairs: DataFrame, nodes: DataFrame | None = None, *, by: Sequence
     Alternating large and small stars: every round hangs nodes below the smallest node in sight, so even long chains
     take a number of rounds logarithmic in their length. Links stay in tables throughout; only their count and hash
     come to the driver. ``nodes`` (``by``, node) adds nodes without links. Each round is cut by a reliable checkpoint.
+    An error is raised if ``most_rounds`` end before two rounds give the same links.
     """
     known = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     links = checkpointed(local_forest(known, by=by).distinct())
@@ -84,6 +85,8 @@ def components(pairs: DataFrame, nodes: DataFrame | None = None, *, by: Sequence
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components: links still changed after {most_rounds} rounds; labels would be split")
     top = links.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return every.join(top, [*by, "node"], "left").select(*by, "node", F.coalesce("component", "node").alias("component"))
 
