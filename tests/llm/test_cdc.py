@@ -74,3 +74,12 @@ def test_fractions_of_shared_chunks(spark):
     got = {r["route_id"]: r for r in cdc.exact_overlap(spark.createDataFrame(e, EVAL), spark.createDataFrame(train, TRAIN), record=["split_name", "route_id"], source=["route_id"], mask_bits=2).collect()}
     assert got["same"]["fraction"] == 1.0 and got["new"]["fraction"] == 0.0 and 0.7 < got["cut"]["fraction"] < 1.0
     assert got["cut"]["steps"] == 120
+
+
+def test_all_vectors_of_a_step_are_alternatives(spark):
+    low, high, other = [1.0] * 15, [500.0] * 15, [900.0] * 15
+    e = [("val", "one", 0, high), ("val", "many", 0, low), ("val", "many", 0, high), ("val", "many", 0, other), ("val", "half", 0, low), ("val", "half", 0, high), ("val", "half", 1, [50.0] * 15)]
+    t = [("both", 0, low), ("both", 0, high), ("high", 0, high), ("last", 7, other), ("none", 0, [70.0] * 15)]
+    frames = spark.createDataFrame([(*r, "m") for r in e], EVAL), spark.createDataFrame([(*r, "m") for r in t], TRAIN)
+    got = {tuple(r) for r in cdc.near_overlap(*frames, record=["split_name", "route_id"], source=["route_id"]).select("route_id", "train_route_id", "matched", "steps").collect()}
+    assert got == {("one", "both", 1, 1), ("one", "high", 1, 1), ("many", "both", 1, 1), ("many", "high", 1, 1), ("many", "last", 1, 1)}

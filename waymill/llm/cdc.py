@@ -61,14 +61,17 @@ def cut_chunks(symbols: np.ndarray, mask_bits: int, window: int = 4) -> np.ndarr
     return np.concatenate([[0], np.cumsum(ends)[:-1]])
 
 
-def normalised_steps(df: DataFrame, record: Sequence[str], slots: int) -> DataFrame:
+def normalised_steps(df: DataFrame, record: Sequence[str], slots: int, *, every: bool = False) -> DataFrame:
     """(record columns, step_id, v array<double>): one row per step that has a vector, nulls and NaNs 0, padded or cut to
-    ``slots`` slots. Of a step with several vectors the smallest is kept. Null ids and null vectors are left out."""
+    ``slots`` slots. Of a step with several vectors the smallest is kept or, with ``every``,
+    each distinct one in a row of its own. Null ids and null vectors are left out."""
     clean = F.transform(F.col("feature_vec"), lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)))
     padded = F.slice(F.concat(clean, F.array_repeat(F.lit(0.0), slots)), 1, slots)
     known = F.col("feature_vec").isNotNull() & F.col("step_id").isNotNull()
     for name in record:
         known &= F.col(name).isNotNull()
+    if every:
+        return df.where(known).select(*record, "step_id", padded.alias("v")).distinct()
     return df.where(known).groupBy(*record, "step_id").agg(F.min(padded).alias("v"))
 
 
@@ -112,10 +115,10 @@ def near_overlap(evaluation: DataFrame, training: DataFrame, *, record: Sequence
     Equal vectors of a side are folded before digests are joined, and a pair is sought only through the rarest
     n - ceil(n*num/den) + 1 steps of the evaluation record, of which a pair above the limit must share one: a step
     that a third of all records share is thus not joined unless a record consists of such steps. Records without
-    steps have no pairs; an infinite slot matches nothing.
+    steps have no pairs; a step with several vectors counts once, and matches if any of them does; an infinite slot matches nothing.
     """
-    ours = normalised_steps(evaluation, record, slots)
-    theirs = normalised_steps(training, source, slots)
+    ours = normalised_steps(evaluation, record, slots, every=True)
+    theirs = normalised_steps(training, source, slots, every=True)
     # steps become (record number, step) with the vector's own number; vectors are folded by value
     ours = checkpointed(ours.withColumn("rec", F.xxhash64(*[F.col(c).cast("string") for c in record], F.lit(1))).withColumn("vec", F.xxhash64("v", F.lit(11))))
     theirs = checkpointed(theirs.withColumn("rec", F.xxhash64(*[F.col(c).cast("string") for c in source], F.lit(2))).withColumn("vec", F.xxhash64("v", F.lit(11))))
@@ -131,8 +134,10 @@ def near_overlap(evaluation: DataFrame, training: DataFrame, *, record: Sequence
     # candidates: records that meet in one of the rarest steps of the evaluation record
     reach = matches.groupBy("ours").agg(F.sum("often").alias("reach"))
     steps = ours.select("rec", "step_id", "vec").join(reach.withColumnRenamed("ours", "vec"), "vec", "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    # a step's vectors are alternatives: it has the reach of all of them, one rank, and counts once
     by_record = Window.partitionBy("rec")
-    ranked = steps.withColumn("n", F.count(F.lit(1)).over(by_record)).withColumn("k", F.row_number().over(by_record.orderBy("reach", "step_id")))
+    whole = steps.repartition("rec").withColumn("whole", F.sum("reach").over(Window.partitionBy("rec", "step_id")))
+    ranked = whole.withColumn("k", F.dense_rank().over(by_record.orderBy("whole", "step_id"))).withColumn("n", F.max("k").over(by_record).cast("bigint"))
     lead = F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
     rare = ranked.where((F.col("k") <= lead) & (F.col("reach") > 0)).select(F.col("rec").alias("e"), F.col("vec").alias("ours"), "n")
     holders = theirs.select(F.col("vec").alias("theirs"), F.col("rec").alias("t")).distinct()
