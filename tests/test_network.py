@@ -119,3 +119,11 @@ def test_projection_and_middle(spark):
     assert (c.x, c.y) == (pytest.approx((10 * 5 + 2 * 10) / 12), pytest.approx(2 / 12))
     c = one(spark, lambda g: network.centroid(line_coords(g)), "LINESTRING (3 4, 3 4)")
     assert (c.x, c.y) == (3.0, 4.0)
+
+
+def test_map_equality_sees_a_changed_copy(spark, data, monkeypatch):
+    from waymill.plans import network_queries
+
+    assert network_queries.map_equality(spark, data).first()["equal"]
+    monkeypatch.setattr(network_queries, "line_text", lambda c: F.when(F.size(c) > 2, F.lit("LINESTRING (0 0, 1 1)")).otherwise(line_text(c)))
+    assert not network_queries.map_equality(spark, data).first()["equal"]
