@@ -1,15 +1,16 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymill.functions.wkt import line_coords, line_text, point_xy, polygon_rings
-from waymill.operators import network
+from waymill.operators import graph, network
 
 MAP = "edge_id bigint, map_id string, street_id bigint, geometry string, length double, obstacle_free_width_float double, curb_height_max double, crossing string, path_type string, bikepath_id string, include int, surveyed_at timestamp, loaded_at timestamp"
 USER = "profile_id string, max_curb_height double, min_sidewalk_width double, crossing_weight_factor double, walk_bike_preference string, walk_bike_preference_weight_factor double"
 
 
-def edge(i, line="LINESTRING (0 0, 1 0)", length=1.0, width=None, curb=None, crossing="No", kind="walk", bike=None, include=1):
-    return (i, "m", 1, line, length, width, curb, crossing, kind, bike, include, None, None)
+def edge(i, line="LINESTRING (0 0, 1 0)", length=1.0, width=None, curb=None, crossing="No", kind="walk", bike=None, include=1, map_id="m"):
+    return (i, map_id, 1, line, length, width, curb, crossing, kind, bike, include, None, None)
 
 
 def frame(spark, rows):
@@ -121,9 +122,30 @@ def test_projection_and_middle(spark):
     assert (c.x, c.y) == (3.0, 4.0)
 
 
-def test_map_equality_sees_a_changed_copy(spark, data, monkeypatch):
-    from waymill.plans import network_queries
+def test_map_equality_by_map(spark):
+    rows = [edge(1, "LINESTRING (0 0, 1 0)", map_id="a"), edge(2, "LINESTRING (0 0, 1 0)", map_id="b"), edge(3, None, map_id="b"), edge(4, None, map_id="c")]
+    other = [edge(1, "linestring(0.0 0,1 0)", map_id="a"), edge(2, "LINESTRING (0 0, 1 0)", map_id="b"), edge(2, "LINESTRING (0 0, 1 0)", map_id="b")]
+    got = {r["map_id"]: r["equal"] for r in network.same_map(frame(spark, rows), frame(spark, other), "map_id").collect()}
+    assert got == {"a": True, "b": False, "c": True}
 
-    assert network_queries.map_equality(spark, data).first()["equal"]
-    monkeypatch.setattr(network_queries, "line_text", lambda c: F.when(F.size(c) > 2, F.lit("LINESTRING (0 0, 1 1)")).otherwise(line_text(c)))
-    assert not network_queries.map_equality(spark, data).first()["equal"]
+
+@pytest.mark.parametrize(("x", "y"), [(5, -3), (-5, 3), (-1, -1), (0, 0), (6_000_000, 30_000_000), (-(2**30), -(2**30))])
+def test_nodes_of_either_sign(spark, x, y):
+    node = network.packed(F.lit(x), F.lit(y))
+    assert tuple(spark.range(1).select(*network.unpacked(node)).first()) == (x, y)
+    key = spark.range(1).select(node.alias("n")).first()["n"]
+    assert [int(v[0]) for v in network.unpacked_nodes(np.array([key]))] == [x, y]
+
+
+def test_dynamic_feature_takes_the_place_from_the_state(spark):
+    e = network.network_edges(frame(spark, [edge(1, "LINESTRING (0 0, 1 2)", length=3.0)])).withColumn("feature", network.static_feature())
+    states = spark.createDataFrame([(1, [7.0, 8.0, 9.0]), (1, [5.0]), (2, [1.0, 2.0])], "edge_id bigint, state array<double>")
+    got = {tuple(r["state"]): r["feature_vec"] for r in network.dynamic_features(states, e).collect()}
+    assert got[7.0, 8.0, 9.0] == [0, 0, 100, 200, 3, 0, 0, 0, 1, 0, 0, 100, 200, 8, 9] and got[5.0,][13:] == [None, 5] and got[1.0, 2.0] is None
+
+
+def test_rounded_nodes_merge_and_loops_go(spark):
+    e = network.network_edges(frame(spark, [edge(1, "LINESTRING (0.2 0, 0.4 0)"), edge(2, "LINESTRING (0.3 0, 5 0)")]))
+    moved = graph.relabelled(e)
+    assert [r["edge_id"] for r in network.without_self_loops(network.directed_arcs(moved)).where("NOT reverse").collect()] == [2]
+    assert {r["src"] for r in moved.collect()} == {0}

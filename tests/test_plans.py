@@ -21,7 +21,7 @@ def test_replay_needs_one_shuffle(spark, data):
 
 @pytest.mark.parametrize(
     ("name", "columns"),
-    [("selected_edges", {"map_id", "include"}), ("route_dedupe", {"route_id", "geometry"}), ("bounds", {"map_id", "geometry"}), ("replay_stats", {"feature_vec"}), ("role_filter", {"coordinates", "point_id"})],
+    [("selected_edges", {"map_id", "include"}), ("route_dedupe", {"route_id", "step_id", "geometry"}), ("bounds", {"map_id", "geometry"}), ("replay_stats", {"feature_vec"}), ("role_filter", {"coordinates", "point_id"})],
 )
 def test_scans_are_pruned(spark, data, name, columns):
     found = re.findall(r"ReadSchema: struct<(.*?)>\n", plan(QUERIES[name](spark, data)))
@@ -39,3 +39,13 @@ def test_filters_reach_the_scan(spark, data):
 def test_no_products(spark, data, name):
     text = plan(QUERIES[name](spark, data))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+
+
+def test_walk_has_no_python_and_no_arrays_that_grow(spark, data):
+    text = plan(QUERIES["feature_vec"](spark, data))
+    assert "Python" not in text and "Pandas" not in text and "Arrow" not in text and "collect_list" not in text
+
+
+def test_route_keys_gather_no_lists(spark, data):
+    text = plan(QUERIES["route_dedupe"](spark, data))
+    assert "collect_list" not in text and "partial_sum" in text

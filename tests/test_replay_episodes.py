@@ -117,3 +117,22 @@ def test_map_sequences_and_embeddings(spark):
     got = {r["id"]: r["vector"] for r in tensor.embedding_lookup(ids, table, 4).collect()}
     assert got[0] == [0.0] * 4 and got[5] == [2.0, 4.0] and got[6] == [0.0] * 4
     assert {r["id"]: r["vector"] for r in tensor.embedding_lookup(ids, table, 2, zero_pad=False, scale=False).collect()}[0] == [1.0, 1.0]
+
+
+def test_sequences_of_unequal_length(spark):
+    df = spark.createDataFrame([(1, [[1.0], [2.0]]), (2, [[3.0]]), (3, []), (4, None)], "id bigint, s array<array<double>>").coalesce(1)
+    assert {r["id"]: r["y"] for r in tensor.map_sequences(df, "s", "y", lambda x: x * 2).collect()} == {1: [[2.0], [4.0]], 2: [[6.0]], 3: [], 4: None}
+    empty = df.where("id > 9")
+    assert tensor.map_sequences(empty, "s", "y", lambda x: x).collect() == []
+
+
+def test_top_products_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-3, 4, size=(300, 5)).astype(float)
+    items = spark.createDataFrame([*[(k, v.tolist()) for k, v in enumerate(vectors)], (900, None)], "item_id bigint, vector array<double>")
+    queries = items.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    got = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in ranking.top_products(queries, items, 4, block=2, chunk=40).collect()}
+    for q in range(0, 300, 50):
+        best = sorted((-float(vectors[q] @ vectors[i]), i) for i in range(300) if i != q)[:4]
+        assert [got[q, n + 1] for n in range(4)] == [(i, round(-s * 1e6)) for s, i in best]
+    assert len(got) == 24 and ranking.top_products(queries.limit(0), items, 3).collect() == []

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from waymill.operators import features, routes
@@ -74,11 +76,32 @@ def test_walk_tolerance_is_relative_to_the_current_place(spark):
     assert near["a", 0][13:] == [5, 5] and far["a", 0][13:] == [121001.3, 487000]
 
 
-def test_long_routes_fold_alike(spark):
-    rows = [step("r", k, f"LINESTRING ({k} 0, {k + 1} 0)" if k % 3 else f"LINESTRING ({k + 1} 0, {k} 0)") for k in range(60)]
-    joined = [features.walked(features.route_steps(steps(spark, rows)), features.trip_ends(ends(spark, [(1, "r", "origin_node", "POINT (0 0)"), (2, "r", "destination_node", "POINT (60 0)")])), long_route=n) for n in (1000, 10)]
-    results = [sorted((r["k"], r["w"]["cx"], r["w"]["cy"]) for r in df.collect()) for df in joined]
-    assert results[0] == results[1] == [(k, float(k + 1), 0.0) for k in range(60)]
+def folded(rows, x, y):
+    """The walk, step by step."""
+    out = []
+    for ax, ay, bx, by in rows:
+        near = abs(ax - x) <= 1e-8 + 1e-5 * abs(x) and abs(ay - y) <= 1e-8 + 1e-5 * abs(y)
+        x, y = (bx, by) if near else (ax, ay)
+        out.append((x, y))
+    return out
+
+
+def test_long_and_short_routes_against_the_fold(spark):
+    rng = random.Random(1)
+    routes_ = {f"r{n}": [tuple(float(rng.randrange(3)) for _ in range(4)) for _ in range(n)] for n in (1, 2, 3, 17, 5000)}
+    rows = [step(r, k, "LINESTRING ({} {}, {} {})".format(*e)) for r, all_ in routes_.items() for k, e in enumerate(all_)]
+    points = [(10 * i + j, r, role, f"POINT ({j} 1)") for i, r in enumerate(routes_) for j, role in enumerate(("origin_node", "destination_node"))]
+    got = {}
+    for r in features.walked(features.route_steps(steps(spark, rows)), features.trip_ends(ends(spark, points))).orderBy("route_id", "k").collect():
+        got.setdefault(r["route_id"], []).append((r["w"]["cx"], r["w"]["cy"]))
+    assert got == {r: folded(all_, 0.0, 1.0) for r, all_ in routes_.items()}
+
+
+def test_equal_lines_in_other_spellings_are_duplicates(spark):
+    rows = [step("a", 0, "LINESTRING (0 0, 1 0)"), step("a", 1, "LINESTRING (1 0, 2 0)"), step("b", 0, "srid=28992;linestring z(1.00 0 5,2 0.0 5)"), step("b", 1, "LineString(0 0,1e0 0)"), step("b", 1, "LINESTRING (0 0, 1 0)")]
+    rows += [step("c", 0, "LINESTRING (0 0, 1 0)"), step("c", 1, "LINESTRING (1 0, 2 0)"), step("c", 2, "LINESTRING (1 0, 2 0)"), step("d", 0, None)]
+    kept = {r["route_id"]: r["kept_route"] for r in routes.kept_routes(steps(spark, rows)).collect()}
+    assert kept == {"a": "a", "b": "a", "c": "c"}
 
 
 def test_valid_actions_near_and_far_ends(spark):

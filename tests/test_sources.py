@@ -39,7 +39,10 @@ def test_operations(spark, tmp_path):
     assert [tuple(r) for r in got] == [("add", "5", "POINT (1 2)", "3.5"), ("move", "k", "LINESTRING (0 0, 1 1)", None)]
     assert files.parse_operations(json.dumps(ops))[1][0] == "move"
     table = spark.createDataFrame([("r", 0, "add", "5", "POINT (1 2)", 3.5, "success"), ("r", 1, "x", "6", "g", 1.0, "failed")], "route_id string, step int, op string, key string, geometry string, value double, status string")
-    assert json.loads(files.operation_lists(table, "route_id").first()["ops"]) == [["add", "5", "POINT (1 2)", "3.5", "success"]]
+    assert json.loads(files.operation_lists(table, "route_id").first()["ops"]) == [["add", ["5", "POINT (1 2)"], "3.5", "success"]]
+    lists = files.operation_lists(table, "route_id")
+    files.write_operations(lists, str(tmp_path / "table"))
+    assert [tuple(r) for r in files.read_operation_table(spark, str(tmp_path / "table"), "route_id").collect()] == [("r", 0, "add", "5", "POINT (1 2)", "3.5")]
 
 
 def test_tables_splits_and_validity(spark, tmp_path):

@@ -28,45 +28,73 @@ def chord(metres: np.ndarray | float) -> np.ndarray | float:
     return np.asarray(metres, float) / RADIUS * (1 + SLACK) + FLOOR
 
 
+#: Sample vectors per leaf: the spread of a leaf's size about its mean is then some 20 %.
+PER_LEAF = 32
+#: Leaves of a tree that driver and executors hold: 21 bytes each, so some 88 MB at most; beyond it leaves grow.
+MOST_LEAVES = 1 << 22
+
+
 class SplitTree:
-    """A complete k-d tree of ``2**depth`` leaves, fitted by medians on a bounded sample. Leaves tile all of space,
-    so every vector has a leaf whether it was in the sample or not."""
+    """A k-d tree of leaves that tile all of space, so every vector has a leaf, whether it was in the sample or not.
+
+    Fitted by medians on a sample to ``2**depth`` leaves; ``split`` parts single leaves again. Inner nodes are rows of
+    ``axis``, ``cut`` and ``kids`` (left, right); a negative kid is a leaf, ``~leaf``.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int) -> None:
-        self.depth = depth
-        self.axis = np.zeros(2**depth, np.int8)
-        self.cut = np.zeros(2**depth)
-        parts: dict[int, np.ndarray] = {1: sample}
-        for node in range(1, 2**depth):
-            points = parts.pop(node)
-            if len(points):
-                axis = int(np.argmax(np.ptp(points, axis=0)))
-                cut = float(np.median(points[:, axis]))
-            else:
-                axis, cut = 0, 0.0
-            self.axis[node], self.cut[node] = axis, cut
-            if 2 * node < 2**depth:
-                left = points[:, axis] < cut if len(points) else np.zeros(0, bool)
-                parts[2 * node], parts[2 * node + 1] = points[left], points[~left]
+        self.axis, self.cut = np.zeros(0, np.int8), np.zeros(0)
+        self.kids = np.zeros((0, 2), np.int32)
+        self.leaves = 1
+        self.split({0: sample}, {0: depth})
+
+    def split(self, samples: dict[int, np.ndarray], depths: dict[int, int]) -> None:
+        """Part each leaf of ``samples`` by medians into ``2**depths[leaf]``; one of the parts keeps the leaf's number.
+        A leaf whose sample is all in one place isn't parted."""
+        axis, cut, kids = self.axis.tolist(), self.cut.tolist(), self.kids.tolist()
+        above = {~kid: (node, side) for node, pair in enumerate(kids) for side, kid in enumerate(pair) if kid < 0}
+        stack = [(leaf, *above.get(leaf, (-1, 0)), samples[leaf], depths[leaf]) for leaf in samples]
+        while stack:
+            leaf, parent, side, points, depth = stack.pop()
+            wide = np.ptp(points, axis=0) if len(points) else np.zeros(3)
+            if not depth or not wide.max() > 0:
+                continue
+            at = int(np.argmax(wide))
+            middle = float(np.median(points[:, at]))
+            if not (points[:, at] < middle).any():  # more than half share the least value: the cut goes above it
+                middle = float(points[:, at][points[:, at] > middle].min())
+            node, other = len(axis), self.leaves
+            self.leaves += 1
+            axis.append(at), cut.append(middle), kids.append([~leaf, ~other])
+            if parent >= 0:
+                kids[parent][side] = node
+            low = points[:, at] < middle
+            stack += [(leaf, node, 0, points[low], depth - 1), (other, node, 1, points[~low], depth - 1)]
+        self.axis, self.cut = np.array(axis, np.int8), np.array(cut, float)
+        self.kids = np.array(kids, np.int32).reshape(-1, 2)
 
     def home(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector."""
-        node = np.ones(len(vectors), np.int64)
-        rows = np.arange(len(vectors))
-        for _ in range(self.depth):
-            right = vectors[rows, self.axis[node]] >= self.cut[node]
-            node = 2 * node + right
-        return node - 2**self.depth
+        node = np.full(len(vectors), 0 if len(self.axis) else ~0, np.int64)
+        rows = np.flatnonzero(node >= 0)
+        while len(rows):
+            at = node[rows]
+            node[rows] = self.kids[at, (vectors[rows, self.axis[at]] >= self.cut[at]).astype(np.int8)]
+            rows = rows[node[rows] >= 0]
+        return ~node
 
     def reached(self, vectors: np.ndarray, reach: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that the ball of chord ``reach`` about a vector can touch."""
-        rows, node = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
+        rows, node = np.arange(len(vectors)), np.full(len(vectors), 0 if len(self.axis) else ~0, np.int64)
         reach = np.broadcast_to(np.asarray(reach, float), len(vectors))
-        for _ in range(self.depth):
+        done_rows, done = [], []
+        while len(rows):
+            last = node < 0
+            done_rows.append(rows[last]), done.append(~node[last])
+            rows, node = rows[~last], node[~last]
             at, cut = vectors[rows, self.axis[node]], self.cut[node]
             left, right = at - reach[rows] < cut, at + reach[rows] >= cut
-            rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-        return rows, node - 2**self.depth
+            rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([self.kids[node[left], 0], self.kids[node[right], 1]])
+        return np.concatenate([*done_rows, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*done, np.zeros(0, np.int64)]).astype(np.int64)
 
 
 class LocalTree:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymill.operators.spread import salted
+
 
 @dataclass(frozen=True)
 class Rewards:
@@ -64,17 +66,21 @@ def observations(moves: DataFrame, max_steps: int = 200) -> DataFrame:
 ROLLOUT = "episode_id string, step int, x double, y double, reward double, done boolean, truncated boolean, outcome string"
 
 
-def rollout(episodes: DataFrame, arcs: DataFrame, *, within: str = "map_id", rewards: Rewards = Rewards(), tasks: int = 16) -> DataFrame:  # noqa: B008
+def rollout(episodes: DataFrame, arcs: DataFrame, *, within: str = "map_id", rewards: Rewards = Rewards(), episodes_per_task: int = 4096) -> DataFrame:  # noqa: B008
     """(episode_id, step, x, y, reward, done, truncated, outcome) of episodes (episode_id, ``within``, start, target,
     actions array<int>) on a map's arcs (``within``, src, dst; packed nodes in centimetres).
 
     An action is clipped to the successors of the current node other than itself, in their order; without any the episode
     fails. Each next state depends on the one before, so an episode is played in one place; the episodes of a map are
-    spread over ``tasks`` tasks, with the map's arcs in each.
+    spread over tasks of ``episodes_per_task``, and each copy of the map's arcs serves that many.
     """
-    ways = arcs.select(F.col(within).alias("area"), "src", "dst").distinct().withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    games = episodes.select(F.col("episode_id").cast("string").alias("episode_id"), F.col(within).alias("area"), "start", "target", "actions").withColumn("task", F.pmod(F.xxhash64("episode_id"), F.lit(tasks)).cast("int"))
-    place = lambda node: ((node >> 32) / 100, (node & 0xFFFFFFFF) / 100)
+    ways = arcs.select(F.col(within).alias("area"), "src", "dst").distinct()
+    games = episodes.select(F.col("episode_id").cast("string").alias("episode_id"), F.col(within).alias("area"), "start", "target", "actions")
+    games, ways = salted(games, ways, ["area"], "episode_id", episodes_per_task)
+
+    def place(node: int) -> tuple[float, float]:
+        y = ((node & 0xFFFFFFFF) ^ 0x80000000) - 0x80000000
+        return ((node - y) >> 32) / 100, y / 100
 
     def play(_key, links: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         successors: dict[int, list[int]] = {}

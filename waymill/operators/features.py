@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymill.functions.expressions import let
 from waymill.functions.wkt import line_coords, point_xy
 from waymill.operators.network import number
 
 #: Tolerances of closeness of two places on one axis.
 RELATIVE, ABSOLUTE = 1e-5, 1e-8
-#: Steps above which a route's walk is folded in NumPy instead of by an array expression.
-LONG_ROUTE = 1000
 
 
 def route_steps(route_edges: DataFrame) -> DataFrame:
@@ -30,6 +24,7 @@ def route_steps(route_edges: DataFrame) -> DataFrame:
         F.coalesce(number("length"), zero).alias("length"), F.coalesce(number("obstacle_free_width_float"), zero).alias("width"), F.coalesce(number("curb_height_max"), zero).alias("curb"),
     )
     read = route_edges.withColumn("c", c).where(F.col("c").isNotNull() & F.col("route_id").isNotNull() & F.col("step_id").isNotNull())
+    # partial by step, so a step delivered millions of times is no hot task
     return read.groupBy("route_id", "step_id").agg(F.min(row).alias("r")).select("route_id", "step_id", "r.*")
 
 
@@ -48,48 +43,30 @@ def close(a: Column, b: Column) -> Column:
 
 
 STEP = ("step_id", "x1", "y1", "x2", "y2", "crossing", "path_type", "length", "width", "curb")
-WALKED = "array<struct<step_id:int,x1:double,y1:double,x2:double,y2:double,crossing:double,path_type:double,length:double,width:double,curb:double,cx:double,cy:double>>"
 
 
-def walked(steps: DataFrame, ends: DataFrame, *, long_route: int = LONG_ROUTE) -> DataFrame:
+def walked(steps: DataFrame, ends: DataFrame) -> DataFrame:
     """(route_id, k, ox, oy, dx, dy, w): the steps of each route in order with their number k from 0, the trip's ends, and
     the step's columns w with the place reached after it (w.cx, w.cy).
 
     From the origin node on: a step that starts close to the current place leads to its end, any other to its start.
-    The place depends on all steps before, so the steps of a route are folded in order: as an array expression, and
-    for routes of more than ``long_route`` steps in NumPy, where the fold's cost stays linear.
+    The place depends on all steps before, but the place after a step is one of its two ends, so a step is a map of two
+    states to two: it keeps them, swaps them, or leads to the same end from both. The state is thus that of the last step
+    of the third kind, swapped as often as swaps came after it: running sums over one sort of each route, of any length.
     """
-    arrays = steps.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct(*STEP))).alias("s")).join(ends, "route_id")
-
-    def follow(state: Column, s: Column) -> Column:
-        def placed(near: Column) -> Column:
-            cx, cy = F.when(near, s.x2).otherwise(s.x1), F.when(near, s.y2).otherwise(s.y1)
-            return F.struct(cx.alias("cx"), cy.alias("cy"))
-
-        def moved(here: Column) -> Column:
-            step = F.struct(*[s[c].alias(c) for c in STEP], here.cx.alias("cx"), here.cy.alias("cy"))
-            return F.struct(here.cx.alias("cx"), here.cy.alias("cy"), F.concat(state.out, F.array(step)).alias("out"))
-
-        return let(let(close(s.x1, state.cx) & close(s.y1, state.cy), placed), moved)
-
-    start = F.struct(F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.array().cast(WALKED).alias("out"))
-    trip = ("route_id", "ox", "oy", "dx", "dy")
-    short = arrays.where(F.size("s") <= long_route).select(*trip, F.aggregate("s", start, follow, lambda x: x.out).alias("w"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            walks = []
-            for ox, oy, s in zip(batch["ox"], batch["oy"], batch["s"], strict=True):
-                cx, cy, walk = ox, oy, []
-                for p in s:
-                    near = abs(p["x1"] - cx) <= ABSOLUTE + RELATIVE * abs(cx) and abs(p["y1"] - cy) <= ABSOLUTE + RELATIVE * abs(cy)
-                    cx, cy = (p["x2"], p["y2"]) if near else (p["x1"], p["y1"])
-                    walk.append({**{c: p[c] for c in STEP}, "cx": cx, "cy": cy})
-                walks.append(walk)
-            yield batch[list(trip)].assign(w=walks)
-
-    long = arrays.where(F.size("s") > long_route).mapInPandas(fold, f"route_id string, ox double, oy double, dx double, dy double, w {WALKED}")
-    return short.unionByName(long).select(*trip, F.posexplode("w").alias("k", "w"))
+    order = Window.partitionBy("route_id").orderBy("step_id")
+    near = lambda x, y: close(F.col("x1"), x) & close(F.col("y1"), y)
+    before = lambda c: F.lag(c).over(order)
+    rows = steps.join(ends, "route_id").withColumn("k", (F.row_number().over(order) - 1).cast("int"))
+    rows = rows.withColumns({"from_start": F.when(F.col("k") == 0, near(F.col("ox"), F.col("oy"))).otherwise(near(before("x1"), before("y1"))), "from_end": F.when(F.col("k") == 0, near(F.col("ox"), F.col("oy"))).otherwise(near(before("x2"), before("y2")))})
+    # whether the step's end is reached: from the start, and from the end, of the step before
+    swaps = F.sum((F.col("from_start") & ~F.col("from_end")).cast("int")).over(order)
+    rows = rows.withColumn("swaps", swaps)
+    fixed = F.last(F.when(F.col("from_start") == F.col("from_end"), F.struct(F.col("from_start").alias("end"), "swaps")), ignorenulls=True).over(order)
+    rows = rows.withColumn("fixed", fixed)
+    at_end = F.col("fixed.end") != ((F.col("swaps") - F.col("fixed.swaps")) % 2 == 1)
+    place = {f"c{a}": F.when(at_end, F.col(f"{a}2")).otherwise(F.col(f"{a}1")) for a in ("x", "y")}
+    return rows.select("route_id", "ox", "oy", "dx", "dy", "k", F.struct(*STEP, *[v.alias(n) for n, v in place.items()]).alias("w"))
 
 
 def feature_vectors(route_edges: DataFrame, start_end: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymill.functions.wkt import centimetres, line_coords
+from waymill.session import few
 
 #: The numeric columns of an edge.
 NUMBERS = ("length", "obstacle_free_width_float", "curb_height_max")
@@ -24,10 +26,23 @@ def number(column: Column | str) -> Column:
 
 
 def packed(x: Column, y: Column) -> Column:
-    """Node key of whole centimetres; exact while y stays below 21,000 km."""
+    """Node key of whole centimetres; exact while x and y stay within 21,000 km of 0 on either side."""
     return F.shiftleft(x.cast("bigint"), 32) + y.cast("bigint")
 
 
+def unpacked(node: Column) -> tuple[Column, Column]:
+    """(x, y) of a node key; the low word has a sign."""
+    low = node.bitwiseAND(F.lit((1 << 32) - 1))
+    y = F.when(low >= 1 << 31, low - F.lit(1 << 32)).otherwise(low)
+    return F.shiftright(node - y, 32), y
+
+
+def unpacked_nodes(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``unpacked`` of an array of node keys."""
+    y = nodes.astype(np.int64).astype(np.uint64).astype(np.uint32).view(np.int32).astype(np.int64)
+    return (nodes - y) >> 32, y
+
+
 def network_edges(network_map: DataFrame) -> DataFrame:
     """One row per edge with a readable line: the earliest delivered row (ties by content), its numbers cleaned, its end
     points in centimetres (x1, y1, x2, y2), node keys (src, dst) and number of vertices.
@@ -78,11 +93,11 @@ def weighted(edges: DataFrame, profiles: DataFrame, *, recover: bool = False, wi
     """Edges for every profile with include, my_weight and oneway.
 
     my_weight is the raw weight over the largest absolute weight of the profile (and of ``within``, say a map) over all
-    its edges, excluded ones too; null where the length is unknown or all weights are 0. The profile table is a list of
-    user models, fixed in size, and is broadcast; the maxima are one row per profile.
+    its edges, excluded ones too; null where the length is unknown or all weights are 0. The profile table is broadcast
+    while it is short (``session.few``); the maxima are one row per profile (and ``within``).
     """
     own = profiles.withColumns({c: number(c) for c in ("max_curb_height", "min_sidewalk_width", "crossing_weight_factor", "walk_bike_preference_weight_factor")})
-    crossed = edges.crossJoin(F.broadcast(own)).withColumn("raw_weight", raw_weight())
+    crossed = edges.crossJoin(few(own)).withColumn("raw_weight", raw_weight())
     keys = ["profile_id", *within]
     most = crossed.groupBy(*keys).agg(F.max(F.abs("raw_weight")).alias("most"))
     flagged = crossed.join(most, keys, "left").withColumn("include", included(recover))
@@ -165,16 +180,26 @@ def dynamic_feature(graph: DataFrame, current_x: Column, current_y: Column) -> D
     return graph.withColumn("feature_vec", F.concat(F.array(*ends), F.col("feature"), F.array(*ends, current_x.cast("double"), current_y.cast("double"))))
 
 
+def dynamic_features(states: DataFrame, graph: DataFrame) -> DataFrame:
+    """``states`` (…, state array<double>, edge_id) with ``feature_vec``: the second layout of the edge, whose current place
+    are the last two slots of the state. An edge that ``graph`` lacks gives null, a state of fewer slots a null place."""
+    edges = graph.select("edge_id", "x1", "y1", "x2", "y2", "feature")
+    place = lambda k: F.try_element_at("state", F.lit(k))
+    rows = dynamic_feature(states.join(edges, "edge_id", "left"), place(-2), place(-1))
+    return rows.drop("x1", "y1", "x2", "y2", "feature").withColumn("feature_vec", F.when(F.size("feature_vec") > 0, F.col("feature_vec")))
+
+
 def rounded(value: Column, digits: int = 5) -> Column:
     """Half-up rounding of the shortest decimal form."""
     return F.round(value, digits)
 
 
-def same_map(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row, ``equal``: whether both tables hold the same lines equally often."""
-    lines = lambda df: df.select(line_coords(F.col("geometry")).alias("c"))
-    apart = lines(left).exceptAll(lines(right)).unionAll(lines(right).exceptAll(lines(left)))
-    return apart.limit(1).agg((F.count(F.lit(1)) == 0).alias("equal"))
+def same_map(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """(keys, equal): whether both tables hold the same readable lines equally often, of each value of ``keys``. Lines are
+    counted per key and side by partial aggregation; an unreadable line is none."""
+    lines = lambda df, n: df.select(*keys, line_coords(F.col("geometry")).alias("c"), F.lit(n).alias("n"))
+    counted = lines(left, 1).unionAll(lines(right, -1)).groupBy(*keys, "c").agg(F.sum("n").alias("n"))
+    return counted.groupBy(*keys).agg(F.coalesce(F.bool_and(F.col("c").isNull() | (F.col("n") == 0)), F.lit(True)).alias("equal"))
 
 
 def centroid(coords: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +17,47 @@ def top_items(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dot_scores(queries: DataFrame, items: DataFrame, *, blocks: int = 64) -> DataFrame:
-    """(query_id, item_id, score): inner products of a stated query set with all items, query block by item row.
+def top_products(queries: DataFrame, items: DataFrame, k: int, *, scale: float = 1e6, block: int = 4096, chunk: int = 16_384) -> DataFrame:
+    """(query_id, item_id, score, rank): of each query of a stated set the k items of the largest inner product, in whole
+    ``1/scale``, ties to the smaller item; an item of the query's own id doesn't count. Ids are integers; a null vector is
+    none.
 
-    ``queries`` (query_id, vector) is folded into ``blocks`` rows of vectors, so an item row meets each block once.
+    Blocks of about ``block`` queries meet chunks of about ``chunk`` items, one task each, by a matrix product that is taken
+    slice by slice. A task keeps the k best of each query, so it sends k rows a query, not one a pair; ``top_items``
+    merges them. Items are shuffled once per block: one row for ``block`` products.
     """
-    block = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-    pairs = items.crossJoin(block).select("item_id", F.col("vector").alias("v"), F.explode("q").alias("q"))
-    product = F.aggregate(F.zip_with(F.col("q.vector"), F.col("v"), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return pairs.select(F.col("q.query_id").alias("query_id"), "item_id", product.alias("score"))
+    vector = F.transform("vector", lambda x: x.cast("double")).alias("vector")
+
+    def parted(df: DataFrame, name: str, rows: int, part: str) -> tuple[DataFrame, int]:
+        known = df.where(F.col("vector").isNotNull()).select(F.col(name).cast("bigint").alias(name), vector)
+        parts = max(1, -(-known.count() // rows))
+        return known.withColumn(part, F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")), parts
+
+    asked, n_blocks = parted(queries, "query_id", block, "block")
+    held, n_chunks = parted(items, "item_id", chunk, "chunk")
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, item = left.column("query_id").to_numpy(), right.column("item_id").to_numpy()
+        best, who = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        if len(ids) and len(item):
+            vectors, against = matrix(left.column("vector")), matrix(right.column("vector"))
+            for begin in range(0, len(item), 1024):
+                part = item[begin : begin + 1024]
+                score = np.floor(vectors @ against[begin : begin + 1024].T * scale + 0.5)
+                score[ids[:, None] == part[None, :]] = -np.inf
+                best, who = np.concatenate([best, score], axis=1), np.concatenate([who, np.broadcast_to(part, score.shape)], axis=1)
+                order = np.lexsort((who, -best), axis=1)[:, :k]
+                best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
+        query, place = np.nonzero(best > -np.inf)
+        return pa.table({"query_id": ids[query], "item_id": who[query, place], "score": best[query, place].astype(np.int64)})
+
+    tops = asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInArrow(multiply, "query_id bigint, item_id bigint, score bigint")
+    return top_items(tops, k)
 
 
 def hits(top: DataFrame, truth: DataFrame, ks: Sequence[int], click_reward: float) -> DataFrame:

@@ -9,10 +9,17 @@ from waymill.functions.wkt import line_coords
 
 
 def route_keys(route_edges: DataFrame) -> DataFrame:
-    """(route_id, key): digest of the sorted multiset of a route's edge lines, whatever their order. Routes whose lines
-    are all null have none and are left out; null lines of other routes are skipped."""
-    lines = route_edges.where(F.col("geometry").isNotNull() & F.col("route_id").isNotNull())
-    return lines.groupBy("route_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("geometry")), ";"), 256).alias("key"))
+    """(route_id, key): digest of the multiset of the lines of a route's steps, whatever their order.
+
+    A line counts by its vertices: spelling, blanks, SRID and z don't matter, and a step that was delivered again counts
+    once (of different lines the smallest). Routes without a readable line have no key and are left out; unreadable
+    lines of other routes are skipped. The digest is the number of steps and two sums of 64-bit hashes, so steps are
+    summed in the map stage and no route's lines meet in one place.
+    """
+    lines = route_edges.where(F.col("route_id").isNotNull()).select("route_id", "step_id", line_coords(F.col("geometry")).alias("c")).where(F.col("c").isNotNull())
+    steps = lines.groupBy("route_id", "step_id").agg(F.min("c").alias("c"))
+    total = lambda seed: F.sum(F.xxhash64("c", F.lit(seed)).cast("decimal(38,0)")).cast("string")
+    return steps.groupBy("route_id").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total(1), total(2)).alias("key"))
 
 
 def route_frequencies(route_edges: DataFrame) -> DataFrame:
@@ -39,33 +46,40 @@ def distinct_route_count(route_edges: DataFrame, *, approximate: bool = False) -
     return route_keys(route_edges).agg(count.alias("n_routes"))
 
 
-def split_hash(number: Column, seed: int) -> Column:
-    """Integer arithmetic that any engine can repeat."""
-    return F.pmod(number * F.lit(7919) + F.lit(seed), F.lit(104_729))
+def split_hash(identity: Column, seed: int) -> Column:
+    """One of 65,536 values by MD5 of seed and id: any engine can repeat it, and equal or missing numbers in ids don't
+    gather in one value."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), identity.cast("string"))), 1, 4), 16, 10).cast("int")
 
 
 def split_members(ids: DataFrame, *, train: float = 0.7, validation: float = 0.15, test: float = 0.15, seed: int = 1) -> DataFrame:
-    """(id, split) for distinct ``ids`` (id, number): the first floor(n*train) by hash are train, the next
+    """(id, split) for distinct ``ids`` (id): the first floor(n*train) by hash are train, the next
     floor(n*validation) val, the rest test. The ratios must sum to 1 within 1e-9.
 
-    Positions come from a count per hash value and range, not from one global sort: the hash has 104,729 values, whose
+    Positions come from a count per hash value and range, not from one global sort: the hash has 65,536 values, whose
     running counts are small, and only the rows of one value are numbered together.
     """
     if abs(train + validation + test - 1) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    hashed = ids.withColumn("h", split_hash(F.col("number"), seed))
+    hashed = ids.select("id", split_hash(F.col("id"), seed).alias("h"))
     counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    placed = hashed.join(before, "h").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("h").orderBy("number", "id")))
+    placed = hashed.join(before, "h").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("h").orderBy("id")))
     a, b = F.floor(F.col("total") * F.lit(float(train))), F.floor(F.col("total") * F.lit(float(validation)))
     return placed.select("id", F.when(F.col("k") <= a, "train").when(F.col("k") <= a + b, "val").otherwise("test").alias("split"))
 
 
 def matched_routes(route_edges: DataFrame, start_end: DataFrame) -> DataFrame:
-    """(id, number): routes that have both edges and end points."""
+    """(id): routes that have both edges and end points."""
     ours = route_edges.select(F.col("route_id").alias("id")).distinct()
-    number = F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
-    return ours.join(start_end.select(F.col("route_id").alias("id")), "id", "left_semi").select("id", number.alias("number"))
+    return ours.join(start_end.select(F.col("route_id").alias("id")), "id", "left_semi")
+
+
+def first_successes(route_edges: DataFrame, n: int = 2) -> DataFrame:
+    """(route_id): the first ``n`` routes, by id, that have a readable line. A limit over partial tops: nothing is sorted
+    as a whole."""
+    good = route_edges.where(line_coords(F.col("geometry")).isNotNull() & F.col("route_id").isNotNull())
+    return good.select("route_id").distinct().orderBy("route_id").limit(n)
 
 
 def clipped(x1: Column, y1: Column, x2: Column, y2: Column, box_x: Column, box_y: Column, radius: Column) -> Column:

@@ -18,15 +18,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def layer_norm(values: Column, epsilon: float = 1e-8) -> Column:
-    """(v - mean) / sqrt(population variance + epsilon) over an array."""
+def layer_norm(values: Column, epsilon: float = 1e-8, *, gamma: Column | None = None, beta: Column | None = None) -> Column:
+    """(v - mean) / sqrt(population variance + epsilon) over an array, times ``gamma`` plus ``beta`` (arrays of its length;
+    1 and 0 if not given)."""
     n = F.size(values)
     centred = let(total(values) / n, lambda m: F.transform(values, lambda x: x - m))
 
     def scaled(c: Column) -> Column:
         return let(F.sqrt(total(F.transform(c, lambda x: x * x)) / n + epsilon), lambda s: F.transform(c, lambda x: x / s))
 
-    return let(centred, scaled)
+    out = let(centred, scaled)
+    out = out if gamma is None else F.zip_with(out, gamma, lambda x, g: x * g)
+    return out if beta is None else F.zip_with(out, beta, lambda x, b: x + b)
 
 
 def gather_last(sequence: Column, length: Column) -> Column:
@@ -139,14 +142,19 @@ def residual_block(x: np.ndarray, first: np.ndarray, second: np.ndarray, dilatio
 
 
 def map_sequences(df: DataFrame, column: str, out: str, layer) -> DataFrame:
-    """Apply ``layer`` ((n, t, c) array to (n, t, c') array) to a column of sequences of equal shape, batch by batch."""
+    """Apply ``layer`` ((n, t, c) array to (n, t', c') array) to a column of sequences, batch by batch; those of equal
+    length in a batch go together. A null sequence gives null, one without steps no steps."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                stacked = np.stack([np.stack([np.asarray(r, float) for r in s]) for s in batch[column]])
-                batch = batch.assign(**{out: [[row.tolist() for row in s] for s in layer(stacked)]})
-                yield batch
+            lengths = np.array([-1 if s is None else len(s) for s in batch[column]], int)
+            results: list = [None if n < 0 else [] for n in lengths]
+            for n in np.unique(lengths[lengths > 0]):
+                rows = np.flatnonzero(lengths == n)
+                stacked = np.stack([np.stack([np.asarray(r, float) for r in batch[column].iloc[k]]) for k in rows])
+                for k, y in zip(rows.tolist(), layer(stacked), strict=True):
+                    results[k] = y.tolist()
+            yield batch.assign(**{out: results})
 
     return df.mapInPandas(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.functions.wkt import line_coords
@@ -27,7 +27,7 @@ def read_map(spark: SparkSession, network: str, metadata: str) -> tuple[DataFram
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """(route_id, coordinates, geometry) of ``;``-separated sidecar files; the route id is the number in the file name."""
-    rows = spark.read.csv(path, sep=";", header=True, schema="coordinates string, geometry string", mode="PERMISSIVE")
+    rows = spark.read.csv(path, sep=";", header=True, schema="coordinates string, geometry string", mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return rows.select(route_number(name).alias("route_id"), "coordinates", "geometry")
 
@@ -57,7 +57,7 @@ def write_routes(route_edges: DataFrame, path: str, *, mode: str = "overwrite")
 
 def write_sidecars(start_end: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Sidecar records as ``;``-separated text with a header."""
-    start_end.select("coordinates", "geometry").write.mode(mode).csv(path, sep=";", header=True)
+    start_end.select("coordinates", "geometry").write.mode(mode).csv(path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_tables(folder: str, tables: Mapping[str, DataFrame], *, mode: str = "overwrite") -> None:
@@ -71,19 +71,47 @@ def write_splits(features: DataFrame, path: str, *, mode: str = "overwrite") ->
     features.write.mode(mode).partitionBy("split").parquet(path)
 
 
+def _operations(lists: DataFrame, *keys: str) -> DataFrame:
+    """(keys, step, op, key, geometry, value) of rows with a stored list in ``ops``."""
+    each = lists.select(*keys, F.posexplode(F.from_json("ops", "array<string>")).alias("step", "o"))
+    parts = each.select(*keys, "step", F.from_json("o", "array<string>").alias("o")).withColumn("target", F.from_json(F.get("o", F.lit(1)), "array<string>"))
+    at = lambda c, i: F.get(c, F.lit(i))
+    return parts.where(at("o", 3) == "success").select(*keys, "step", at("o", 0).alias("op"), at("target", 0).alias("key"), at("target", 1).alias("geometry"), at("o", 2).alias("value"))
+
+
 def read_operations(spark: SparkSession, path: str) -> DataFrame:
-    """(file, op, key, geometry, value) of stored operation lists ``[[op, [key, wkt], value, status], …]``: successful
-    operations only, in order of ``step``."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("ops"))
-    each = raw.select("file", F.posexplode("ops").alias("step", "o"))
-    parts = each.select("file", "step", F.from_json("o", "array<string>").alias("o")).withColumn("target", F.from_json(F.col("o")[1], "array<string>"))
-    return parts.where(F.col("o")[3] == "success").select("file", "step", F.col("o")[0].alias("op"), F.col("target")[0].alias("key"), F.col("target")[1].alias("geometry"), F.col("o")[2].alias("value"))
+    """(file, step, op, key, geometry, value) of files that each hold one operation list ``[[op, [key, wkt], value, status],
+    …]``: successful operations only, in order of ``step``."""
+    return _operations(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("ops")), "file")
 
 
 def operation_lists(operations: DataFrame, *keys: str) -> DataFrame:
-    """(keys, ops): operations (step, op, key, geometry, value, status) folded to JSON lists, successful ones only."""
-    row = F.to_json(F.array("op", "key", "geometry", F.col("value").cast("string"), "status"))
-    return operations.where(F.col("status") == "success").groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", row.alias("r")))), lambda x: x.r), ","), F.lit("]")).alias("ops"))
+    """(keys, ops): operations (step, op, key, geometry, value, status) folded to lists in the stored form, successful ones
+    only."""
+
+    def quoted(c: Column) -> Column:
+        text = F.to_json(F.array(c.cast("string")))
+        return text.substr(F.lit(2), F.length(text) - 2)
+
+    op, key, geometry, value, status = (quoted(F.col(c)) for c in ("op", "key", "geometry", "value", "status"))
+    row = F.concat(F.lit("["), op, F.lit(",["), key, F.lit(","), geometry, F.lit("],"), value, F.lit(","), status, F.lit("]"))
+    folded = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", row.alias("r")))), lambda x: x.r), ",")
+    return operations.where(F.col("status") == "success").groupBy(*keys).agg(F.concat(F.lit("["), folded, F.lit("]")).alias("ops"))
+
+
+def write_operations(lists: DataFrame, path: str, *, mode: str = "overwrite") -> None:
+    """Operation lists of ``operation_lists`` as one table of JSON lines."""
+    lists.write.mode(mode).json(path)
+
+
+def read_operation_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(keys, step, op, key, geometry, value) of what ``write_operations`` wrote; keys are text."""
+    return _operations(spark.read.schema(", ".join(f"`{k}` string" for k in [*keys, "ops"])).json(path), *keys)
+
+
+def write_metadata(metadata: DataFrame, path: str, *, mode: str = "overwrite") -> None:
+    """One row of metadata, in flat or nested form, as a JSON file of its own."""
+    metadata.coalesce(1).write.mode(mode).json(path)
 
 
 def parse_operations(text: str) -> list[tuple]:
