@@ -35,12 +35,12 @@ def routes(seed):
     return ours, theirs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_all_overlaps_are_found(spark, seed):
+@pytest.mark.parametrize(("seed", "mask_bits"), [(1, 1), (2, 0), (3, 3)])
+def test_all_overlaps_are_found(spark, seed, mask_bits):
     ours, theirs = routes(seed)
-    e = spark.createDataFrame([(*r, "m") for r in ours] * 2, EVAL).selectExpr("*", "1 AS rec", "2 AS vec", "3 AS v", "4 AS digest")
+    e = spark.createDataFrame([(*r, "m") for r in ours] * 2, EVAL).selectExpr("*", "1 AS rec", "2 AS vec", "3 AS v", "4 AS digest", "5 AS chunk", "6 AS place")
     t = spark.createDataFrame([(*r, "m") for r in theirs] * 2, TRAIN)
-    rows = cdc.near_overlap(e, t, record=["split_name", "route_id"], source=["route_id"]).select("split_name", "route_id", "train_route_id").collect()
+    rows = cdc.near_overlap(e, t, record=["split_name", "route_id"], source=["route_id"], mask_bits=mask_bits).select("split_name", "route_id", "train_route_id").collect()
     got = [tuple(r) for r in rows]
     assert len(got) == len(set(got))
     assert set(got) == brute(ours, theirs)
@@ -83,3 +83,37 @@ def test_all_vectors_of_a_step_are_alternatives(spark):
     frames = spark.createDataFrame([(*r, "m") for r in e], EVAL), spark.createDataFrame([(*r, "m") for r in t], TRAIN)
     got = {tuple(r) for r in cdc.near_overlap(*frames, record=["split_name", "route_id"], source=["route_id"]).select("route_id", "train_route_id", "matched", "steps").collect()}
     assert got == {("one", "both", 1, 1), ("one", "high", 1, 1), ("many", "both", 1, 1), ("many", "high", 1, 1), ("many", "last", 1, 1)}
+
+
+def test_streams_laid_end_to_end_are_cut_alike():
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(0, 2**60, n).astype(np.uint64) for n in (1, 40, 2, 100, 7)]
+    starts = np.concatenate([np.arange(len(x)) == 0 for x in streams])
+    whole, at = cdc.cut_chunks(np.concatenate(streams), 2, starts=starts, longest=9), 0
+    for x in streams:
+        own = whole[at : at + len(x)]
+        assert (own - own[0]).tolist() == cdc.cut_chunks(x, 2, longest=9).tolist() and np.bincount(own - own[0]).max() <= 9
+        at += len(x)
+    assert (np.diff(whole) >= 0).all() and whole[-1] == len(set(whole.tolist())) - 1
+
+
+def test_long_records_share_stretches(spark):
+    rng = random.Random(5)
+    vector = lambda: [float(rng.randrange(10_000)) for _ in range(15)]
+    base, step = [vector() for _ in range(200)], vector()
+    theirs = [("t", k, v) for k, v in enumerate(base)] + [("same", k, step) for k in range(90)]
+    ours = [("val", "part", k, [x + 0.4 for x in v]) for k, v in enumerate(base[50:130] + [vector() for _ in range(50)])] + [("val", "less", k, v) for k, v in enumerate(base[:77] + [vector() for _ in range(53)])]
+    ours += [("val", "same", k, step if k % 5 else vector()) for k in range(100)]
+    e, t = spark.createDataFrame([(*r, "m") for r in ours], EVAL), spark.createDataFrame([(*r, "m") for r in theirs], TRAIN)
+    got = {tuple(r) for r in cdc.near_overlap(e, t, record=["split_name", "route_id"], source=["route_id"]).select("route_id", "train_route_id", "matched", "steps").collect()}
+    assert got == {("part", "t", 80, 130), ("same", "same", 80, 100)}
+
+
+def test_chunks_of_equal_stretches_are_equal(spark):
+    rows = [(r, s, [float(k)] * 15, "m") for r, first in (("a", 0), ("b", 3)) for s, k in enumerate(range(first, 60))]
+    df = cdc.chunked_steps(spark.createDataFrame(rows, TRAIN), ["route_id"], mask_bits=2)
+    chunks = {}
+    for r in df.where("place = 0").collect():
+        chunks.setdefault(r["route_id"], {})[r["chunk"]] = (r["v"][0], r["length"])
+    both = chunks["a"].keys() & chunks["b"].keys()
+    assert len(both) > 5 and all(chunks["a"][c] == chunks["b"][c] for c in both) and sum(chunks["a"][c][1] for c in both) >= 45

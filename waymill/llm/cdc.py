@@ -1,15 +1,16 @@
-"""Overlap of records across splits by digests of steps and by content-defined chunks.
+"""Overlap of records across splits by content-defined chunks.
 
-A record is an ordered list of steps, each a numeric vector; null and NaN slots are 0. There are two operators.
+A record is an ordered list of steps, each a numeric vector; null and NaN slots are 0. A rolling (gear) hash over a
+record's steps cuts it where its low bits are zero, so that a cut depends on the content next to it only and finds its way
+back after an insertion. A chunk goes by a digest of its steps; records that share a stretch share its chunks, and each
+distinct chunk is handled once, however many records hold it.
 
-``exact_overlap`` measures how much of a record is in the other split unchanged. A rolling (gear) hash over the record's
-steps cuts it where its low bits are zero, so that a cut depends on the content next to it only and finds its way back
-after an insertion. Chunk digests are joined across splits, and the lengths of shared chunks are summed into fractions.
+``exact_overlap`` joins chunk digests across splits and sums the lengths of shared chunks into a fraction per record.
 
-``near_overlap`` looks for matches within a tolerance, where any single step counts; it cuts nothing. In place of chunks
-each step has a fixed digest: a gear hash over the cells of its anchor slots, the other slots are not hashed. Slots near
-a cell's border are looked up in both cells, so no step within the tolerance is missed; whether it is within the
-tolerance is checked on all slots.
+``near_overlap`` does the same for pairs of records, and within a tolerance: of two chunks it finds which steps of the one
+match a step of the other (all of them, if the digests are equal), and sums these lengths over a pair's chunks. Steps within
+the tolerance are found by digests of cells; a step near a cell's border is looked up in both cells, so none is missed,
+and all slots are checked. A single step can match where its chunk as a whole doesn't, so no pair is lost to the cuts.
 """
 
 from __future__ import annotations
@@ -48,17 +49,24 @@ def gear(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_chunks(symbols: np.ndarray, mask_bits: int, window: int = 4) -> np.ndarray:
-    """Chunk number of each symbol of one stream. A chunk ends after a symbol where the gear hash of the last
-    ``window`` symbols has ``mask_bits`` zero bits; with 0 bits each symbol is a chunk."""
-    if not len(symbols):
+def cut_chunks(symbols: np.ndarray, mask_bits: int, window: int = 4, *, starts: np.ndarray | None = None, longest: int = 32) -> np.ndarray:
+    """Chunk number of each symbol. A chunk ends after a symbol where the gear hash of the last ``window`` symbols has
+    ``mask_bits`` zero bits (with 0 bits each symbol is a chunk), after ``longest`` symbols, and with its stream:
+    ``starts`` marks the first symbols of streams laid end to end (one, if not given)."""
+    n = len(symbols)
+    if not n:
         return np.zeros(0, np.int64)
+    at = np.arange(n)
+    first = at == 0 if starts is None else starts | (at == 0)
+    stream = np.maximum.accumulate(np.where(first, at, 0))
     mixed = _mixed(symbols)
-    rolled = np.zeros(len(symbols), np.uint64)
-    for back in range(min(window, len(symbols))):
-        rolled[back:] += mixed[: len(symbols) - back] << np.uint64(back)
+    rolled = np.zeros(n, np.uint64)
+    for back in range(min(window, n)):
+        rolled[back:] += np.where(at[back:] - back >= stream[back:], mixed[: n - back] << np.uint64(back), np.uint64(0))
     ends = (_mixed(rolled) & np.uint64((1 << mask_bits) - 1)) == 0
-    return np.concatenate([[0], np.cumsum(ends)[:-1]])
+    fresh = first | np.concatenate([[True], ends[:-1]])
+    fresh |= (at - np.maximum.accumulate(np.where(fresh, at, 0))) % longest == 0
+    return np.cumsum(fresh) - 1
 
 
 def normalised_steps(df: DataFrame, record: Sequence[str], slots: int, *, every: bool = False) -> DataFrame:
@@ -107,92 +115,133 @@ def _digests(tolerance: float, cell: float, anchor: Sequence[int], probe: bool):
     return digest
 
 
-def near_overlap(evaluation: DataFrame, training: DataFrame, *, record: Sequence[str], source: Sequence[str], tolerance: float = 0.5, num: int = 3, den: int = 5, slots: int = 15, cell: float = CELL, anchor: Sequence[int] = ANCHOR) -> DataFrame:
+def _cut(mask_bits: int, window: int, longest: int, held_rows: int = 65_536):
+    """Rows (a, b: the record's two hashes, step_id, s, t: the step's two symbols), ordered by record and step, to rows with the
+    digest (lo, hi), the place and the length of the step's chunk. A record's symbols are held together."""
+
+    def chunks(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        get = lambda name: table.column(name).to_numpy()
+        a, b = get("a"), get("b")
+        starts = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        symbols = [get(c).view(np.uint64) for c in ("s", "t")]
+        number = cut_chunks(symbols[0], mask_bits, window, starts=starts, longest=longest)
+        head = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        length = np.diff(np.concatenate([head, [len(number)]]))
+        place = np.arange(len(number)) - head[number]
+        # a sum of steps mixed with their places: equal for equal chunks only, but for 2**-128
+        digests = [_mixed(np.add.reduceat(_mixed(x + _mixed(place.astype(np.uint64) + np.uint64(k))), head) + length.astype(np.uint64)) for k, x in enumerate(symbols, 1)]
+        columns = [table.column(c).combine_chunks() for c in ("a", "b", "step_id")]
+        more = [pa.array(digests[0].view(np.int64)[number]), pa.array(digests[1].view(np.int64)[number]), pa.array(place.astype(np.int32)), pa.array(length[number].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, *more], names=["a", "b", "step_id", "lo", "hi", "place", "length"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= held_rows:  # the last record may go on in the next batch
+                table = pa.Table.from_batches(held)
+                a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+                turn = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                whole = int(turn[-1]) + 1 if len(turn) else 0
+                if whole:
+                    yield chunks(table.slice(0, whole))
+                held, rows = table.slice(whole).to_batches(), table.num_rows - whole
+        if held:
+            yield chunks(pa.Table.from_batches(held))
+
+    return cut
+
+
+def chunked_steps(df: DataFrame, record: Sequence[str], *, slots: int = 15, decimals: int | None = None, mask_bits: int = 1, window: int = 4, longest: int = 32) -> DataFrame:
+    """(``record``, rec, step_id, v, vec, chunk, place, length): each step of each record with its chunk; a step with several
+    vectors has a row for each, all in one place. rec, vec and chunk are pairs of 64-bit hashes; with ``decimals``, vectors
+    count as equal if they are once rounded."""
+    pair = lambda *columns: F.struct(F.xxhash64(*columns, F.lit(11)).alias("a"), F.xxhash64(*columns, F.lit(12)).alias("b"))
+    steps = normalised_steps(df, record, slots, every=True)
+    if decimals is not None:
+        steps = steps.withColumn("v", F.transform("v", lambda x: F.round(x, decimals) + F.lit(0.0))).distinct()
+    steps = steps.withColumn("rec", pair(*[F.col(c).cast("string") for c in record])).withColumn("vec", pair("v"))
+    # one symbol a step: sums over its vectors, in no order
+    total = lambda c, seed: F.xxhash64(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(seed))
+    symbols = steps.groupBy("rec", "step_id").agg(total("vec.a", 1).alias("s"), total("vec.b", 2).alias("t")).select("rec.a", "rec.b", "step_id", "s", "t")
+    kind = df.schema["step_id"].dataType.simpleString()
+    ordered = symbols.repartition("a", "b").sortWithinPartitions("a", "b", "step_id")
+    cut = ordered.mapInArrow(_cut(mask_bits, window, longest), f"a bigint, b bigint, step_id {kind}, lo bigint, hi bigint, place int, length int")
+    cut = cut.select(F.struct("a", "b").alias("rec"), "step_id", F.struct("lo", "hi").alias("chunk"), "place", "length")
+    return steps.join(cut, ["rec", "step_id"])
+
+
+def _held(steps: DataFrame) -> DataFrame:
+    """(rec, chunk, length, times): the chunks of each record and how often it has them."""
+    return steps.where("place = 0").groupBy("rec", "chunk", "length").agg(F.countDistinct("step_id").alias("times"))
+
+
+def near_overlap(
+    evaluation: DataFrame, training: DataFrame, *, record: Sequence[str], source: Sequence[str], tolerance: float = 0.5, num: int = 3, den: int = 5, slots: int = 15, cell: float = CELL, anchor: Sequence[int] = ANCHOR, mask_bits: int = 1
+) -> DataFrame:
     """Pairs of an evaluation record and a training record where at least num/den of the steps of the former match some
     step of the latter: all slots differ by at most ``tolerance``.
 
     Columns: ``record`` of the evaluation side, ``source`` of the training side (prefixed ``train_``), matched, steps.
-    Equal vectors of a side are folded before digests are joined, and a pair is sought only through the rarest
-    n - ceil(n*num/den) + 1 steps of the evaluation record, of which a pair above the limit must share one: a step
-    that a third of all records share is thus not joined unless a record consists of such steps. Records without
-    steps have no pairs; a step with several vectors counts once, and matches if any of them does; an infinite slot matches nothing.
+    Chunks of either side are folded by digest. Of two chunks, one bit for each step of the evaluation side says whether it
+    matches a step of the other; the bits of a pair's chunks are joined and summed. A pair is sought only through the
+    rarest chunks of the evaluation record, of together at least n - ceil(n*num/den) + 1 steps, of which a pair above the
+    limit must share one: a chunk that a third of all records share is thus not joined unless a record consists of such.
+    Records without steps have no pairs; a step with several vectors counts once, and matches if any of them does; an
+    infinite slot matches nothing.
     """
-    ours = normalised_steps(evaluation, record, slots, every=True)
-    theirs = normalised_steps(training, source, slots, every=True)
-    # steps become (record number, step) with the vector's own number; vectors are folded by value
-    ours = checkpointed(ours.withColumn("rec", F.xxhash64(*[F.col(c).cast("string") for c in record], F.lit(1))).withColumn("vec", F.xxhash64("v", F.lit(11))))
-    theirs = checkpointed(theirs.withColumn("rec", F.xxhash64(*[F.col(c).cast("string") for c in source], F.lit(2))).withColumn("vec", F.xxhash64("v", F.lit(11))))
-    our_vectors, their_vectors = ours.groupBy("vec").agg(F.min("v").alias("v")), theirs.groupBy("vec").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("often"))
-
-    schema = "vec bigint, v array<double>"
-    probes = our_vectors.select("vec", "v").mapInArrow(_digests(tolerance, cell, anchor, True), schema + ", digest bigint")
-    chunks = their_vectors.mapInArrow(_digests(tolerance, cell, anchor, False), schema + ", often bigint, digest bigint")
-    close = F.forall(F.zip_with("ov", "tv", lambda a, b: F.abs(a - b) <= tolerance + 1e-9), lambda x: x)
-    matches = probes.select(F.col("vec").alias("ours"), F.col("v").alias("ov"), "digest").join(chunks.select(F.col("vec").alias("theirs"), F.col("v").alias("tv"), "often", "digest"), "digest").where(close).select("ours", "theirs", "often").distinct()
-    matches = checkpointed(matches)
+    ours = checkpointed(chunked_steps(evaluation, record, slots=slots, mask_bits=mask_bits))
+    theirs = checkpointed(chunked_steps(training, source, slots=slots, mask_bits=mask_bits))
+    our_vectors, their_vectors = (df.groupBy("vec").agg(F.first("v").alias("v")) for df in (ours, theirs))
 
-    # candidates: records that meet in one of the rarest steps of the evaluation record
-    reach = matches.groupBy("ours").agg(F.sum("often").alias("reach"))
-    steps = ours.select("rec", "step_id", "vec").join(reach.withColumnRenamed("ours", "vec"), "vec", "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
-    # a step's vectors are alternatives: it has the reach of all of them, one rank, and counts once
+    schema = "vec struct<a: bigint, b: bigint>, v array<double>, digest bigint"
+    probes = our_vectors.mapInArrow(_digests(tolerance, cell, anchor, True), schema)
+    cells = their_vectors.mapInArrow(_digests(tolerance, cell, anchor, False), schema)
+    close = F.forall(F.zip_with("ov", "tv", lambda a, b: F.abs(a - b) <= tolerance + 1e-9), lambda x: x)
+    matches = probes.select(F.col("vec").alias("ours"), F.col("v").alias("ov"), "digest").join(cells.select(F.col("vec").alias("theirs"), F.col("v").alias("tv"), "digest"), "digest").where(close).select("ours", "theirs").distinct()
+
+    # chunk against chunk: the steps of the one (a bit each) that match a step of the other
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))
+    finite = F.forall("v", lambda x: F.abs(x) < float("inf"))
+    held, holders = checkpointed(_held(ours)), checkpointed(theirs.select(F.col("chunk").alias("d"), F.col("rec").alias("t")).distinct())
+    whole = ours.groupBy("chunk").agg(F.bit_or(F.when(finite, bit).otherwise(0)).alias("bits"))
+    equal = whole.join(holders.select(F.col("d").alias("chunk")).distinct(), "chunk").select(F.col("chunk").alias("c"), F.col("chunk").alias("d"), "bits")
+    near = ours.select(F.col("chunk").alias("c"), F.col("vec").alias("ours"), bit.alias("bit")).distinct().join(matches, "ours").join(theirs.select(F.col("chunk").alias("d"), F.col("vec").alias("theirs")).distinct(), "theirs")
+    near = near.where(F.col("c") != F.col("d")).groupBy("c", "d").agg(F.bit_or("bit").alias("bits"))
+    shares = checkpointed(equal.unionByName(near).where("bits <> 0"))
+
+    # candidates: records that meet in one of the rarest chunks of the evaluation record
+    often = holders.groupBy("d").agg(F.count(F.lit(1)).alias("often"))
+    reach = shares.select("c", "d").join(often, "d").groupBy(F.col("c").alias("chunk")).agg(F.sum("often").alias("reach"))
     by_record = Window.partitionBy("rec")
-    whole = steps.repartition("rec").withColumn("whole", F.sum("reach").over(Window.partitionBy("rec", "step_id")))
-    ranked = whole.withColumn("k", F.dense_rank().over(by_record.orderBy("whole", "step_id"))).withColumn("n", F.max("k").over(by_record).cast("bigint"))
-    lead = F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
-    rare = ranked.where((F.col("k") <= lead) & (F.col("reach") > 0)).select(F.col("rec").alias("e"), F.col("vec").alias("ours"), "n")
-    holders = theirs.select(F.col("vec").alias("theirs"), F.col("rec").alias("t")).distinct()
-    candidates = rare.select("e", "ours", "n").distinct().join(matches.select("ours", "theirs"), "ours").join(holders, "theirs").select("e", "t", "n").distinct()
-
-    # shared lengths: of each candidate pair the steps of the evaluation record with a match in the training record
-    met = candidates.join(ours.select(F.col("rec").alias("e"), "step_id", F.col("vec").alias("ours")), "e").join(matches.select("ours", "theirs"), "ours").join(holders, ["theirs", "t"], "left_semi")
-    shared = met.select("e", "t", "n", "step_id").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("matched"), F.first("n").alias("steps"))
-    shared = shared.where(F.col("matched") * den >= F.col("steps") * num)
+    steps = F.col("length") * F.col("times")
+    ranked = held.join(reach, "chunk", "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    ranked = ranked.withColumn("before", F.sum(steps).over(by_record.orderBy("reach", "chunk")) - steps).withColumn("n", F.sum(steps).over(by_record))
+    lead = F.col("before") < F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
+    rare = ranked.where(lead & (F.col("reach") > 0)).select(F.col("rec").alias("e"), F.col("chunk").alias("c"), "n")
+    candidates = rare.join(shares.select("c", "d"), "c").join(holders, "d").select("e", "t", "n").distinct()
+
+    # shared lengths of each candidate pair
+    met = candidates.join(held.select(F.col("rec").alias("e"), F.col("chunk").alias("c"), "times"), "e").join(shares, "c").join(holders, ["d", "t"], "left_semi")
+    shared = met.groupBy("e", "t", "c").agg(F.bit_count(F.bit_or("bits")).alias("bits"), F.first("times").alias("times"), F.first("n").alias("steps"))
+    shared = shared.groupBy("e", "t").agg(F.sum(F.col("bits") * F.col("times")).alias("matched"), F.first("steps").alias("steps")).where(F.col("matched") * den >= F.col("steps") * num)
     left = ours.select(F.col("rec").alias("e"), *record).distinct()
     right = theirs.select(F.col("rec").alias("t"), *[F.col(c).alias(f"train_{c}") for c in source]).distinct()
     return shared.join(left, "e").join(right, "t").select(*record, *[f"train_{c}" for c in source], "matched", "steps")
 
 
-def _chunked(mask_bits: int):
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            records, digests, lengths = [], [], []
-            lists = batch.column("symbols")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(batch.num_rows):
-                symbols = flat[offsets[k] : offsets[k + 1]]
-                if not len(symbols):
-                    continue
-                chunk = cut_chunks(symbols, mask_bits)
-                starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-                ends = np.concatenate([starts[1:], [len(symbols)]])
-                weight = _mixed(symbols ^ _mixed(np.arange(len(symbols), dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)))
-                sums = np.add.reduceat(weight, starts)
-                records.append(np.full(len(starts), k))
-                digests.append(_mixed(sums + (ends - starts).astype(np.uint64)).view(np.int64))
-                lengths.append(ends - starts)
-            if records:
-                take = pa.array(np.concatenate(records))
-                yield pa.RecordBatch.from_arrays([batch.column("rec").take(take), pa.array(np.concatenate(digests)), pa.array(np.concatenate(lengths))], names=["rec", "digest", "length"])
-
-    return chunked
-
-
 def exact_overlap(evaluation: DataFrame, training: DataFrame, *, record: Sequence[str], source: Sequence[str], slots: int = 15, decimals: int = 2, mask_bits: int = 1) -> DataFrame:
     """Per evaluation record the fraction of its steps inside chunks that the training side has too.
 
     Columns: ``record``, steps, shared, fraction. A chunk is one to a few steps, cut by content; each distinct digest
     of the training side counts once, however many records hold it, so hot chunks are one row of the join.
     """
-    symbol = lambda c: F.xxhash64(F.transform(c, lambda x: F.round(x, decimals) + F.lit(0.0)))
-
-    def chunks(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        steps = normalised_steps(df, keys, slots).withColumn("rec", F.xxhash64(*[F.col(c).cast("string") for c in keys]))
-        streams = steps.groupBy("rec", *keys).agg(F.array_sort(F.collect_list(F.struct("step_id", symbol(F.col("v")).alias("s")))).alias("s"))
-        streams = streams.select("rec", *keys, F.col("s.s").alias("symbols"))
-        return streams, streams.select("rec", "symbols").mapInArrow(_chunked(mask_bits), "rec bigint, digest bigint, length bigint")
-
-    streams, ours = chunks(evaluation, record)
-    _, theirs = chunks(training, source)
-    known = theirs.select("digest").distinct().withColumn("known", F.lit(1))
-    shared = ours.join(known, "digest", "left").groupBy("rec").agg(F.sum("length").alias("steps"), F.sum(F.when(F.col("known") == 1, F.col("length")).otherwise(0)).alias("shared"))
-    return streams.select("rec", *record).join(shared, "rec").select(*record, "steps", "shared", (F.col("shared") / F.col("steps")).alias("fraction"))
+    cut = lambda df, keys: chunked_steps(df, keys, slots=slots, decimals=decimals, mask_bits=mask_bits)
+    ours = cut(evaluation, record).where("place = 0").select(*record, "step_id", "chunk", "length").distinct()
+    known = cut(training, source).select("chunk").distinct().withColumn("known", F.lit(1))
+    sums = ours.join(known, "chunk", "left").groupBy(*record).agg(F.sum("length").alias("steps"), F.sum(F.when(F.col("known") == 1, F.col("length")).otherwise(0)).alias("shared"))
+    return sums.select(*record, "steps", "shared", (F.col("shared") / F.col("steps")).alias("fraction"))
