@@ -8,15 +8,19 @@ occurrences are located by stepping back to sampled suffix positions; overlappin
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.llm.textplane import HashIndex, Plane, run_hashes, slices
+from waymill.session import written
 
 SEPARATOR = 0
 LETTER, DIGIT = 1, 2
@@ -294,7 +298,8 @@ class Shard:
 
 
 def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[tuple[list, list[str]]]:
-    """Items in blocks of bounded text, streamed to the driver."""
+    """Items in blocks of bounded text (an item longer than that is a block of its own), streamed to the driver, which holds
+    one block at a time."""
     ids, texts, size = [], [], 0
     for row in items.where(F.col(text).isNotNull()).select(key, text).toLocalIterator():
         if texts and size + len(row[1]) > block_chars:
@@ -306,24 +311,36 @@ def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iter
         yield ids, texts
 
 
+_PHRASES: dict[str, Phrases] = {}
+
+
+def worker_phrases(token: str, block: tuple[list, list[str]], words: int) -> Phrases:
+    """The phrases of a block, made once per worker process; a worker keeps those of one block."""
+    if token not in _PHRASES:
+        _PHRASES.clear()
+        _PHRASES[token] = Phrases(*block, words)
+    return _PHRASES[token]
+
+
 def leaked_spans(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", words: int = 12, shard_words: int = 2_000_000, block_chars: int = 16_000_000) -> DataFrame:
     """(key, item_id, begin, end, words): each maximal stretch of a document that consists of phrases of ``words``
     consecutive words which are consecutive in the item too; begin and end count characters of the text.
 
     Whole texts are searched, by one narrow pass over the corpus for each block of items (one, unless the items' text
-    exceeds ``block_chars``); only a block's phrases are sent to executors. Null and empty texts hold nothing, items
-    shorter than ``words`` can't be found; empty tables give no rows. Repeated documents give repeated rows.
+    exceeds ``block_chars``); only a block's phrases are sent to executors. Of several blocks each is searched, its spans
+    are written to the shared folder and its broadcast is released before the next one is made. Null and empty texts hold
+    nothing, items shorter than ``words`` can't be found; empty tables give no rows. Repeated documents give repeated rows.
     """
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType
     schema = f"{key} {kind}, item_id {item_kind.simpleString()}, begin bigint, end bigint, words bigint"
     names = [key, "item_id", "begin", "end", "words"]
     spark = documents.sparkSession
 
-    def searched(block: tuple[list, list[str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    def searched(block: tuple[list, list[str]]) -> tuple[DataFrame, Broadcast]:
+        shared, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(*shared.value, words)
+            phrases = worker_phrases(token, shared.value, words)
             names_of = pa.array(phrases.item_ids)
             shard, keys, held = Shard(phrases), [], 0
 
@@ -343,10 +360,18 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, key: str = "doc_id",
                         keys, held = [], 0
             yield from spans()
 
-        return documents.select(key, text).where(F.col(text).isNotNull()).mapInArrow(search, schema)
+        return documents.select(key, text).where(F.col(text).isNotNull()).mapInArrow(search, schema), shared
 
+    blocks = item_blocks(items, item_key, item_text, block_chars)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return spark.createDataFrame([], schema)
+    if following is None:
+        return searched(block)[0]
     found: DataFrame | None = None
-    for block in item_blocks(items, item_key, item_text, block_chars):
-        part = searched(block)
+    for one in chain((block, following), blocks):
+        spans, shared = searched(one)
+        part = written(spans, "leaks")
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], schema)
+    return found
