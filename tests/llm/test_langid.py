@@ -31,6 +31,8 @@ def prose(text):
         ("\\begin{equation} x \\label{q} \\end{equation} after \\begin{align*}1\\end{align*}", "after"),
         ("see \\cite[p. 3]{abc} and \\ref{x}, \\emph{very} \\textbf{good} \\textcolor{red}{paint}", "see and , very good paint"),
         ("\\newcommand{\\x}[1]{some #1 text} \\def\\y#1{more \\textit{#1}} rest", "rest"),
+        ("\\def\\y" + " " * 300 + "{secret words here} rest", "rest"),
+        ("\\def\\y\n\n{a group} of the next paragraph", "a group of the next paragraph"),
         ("\\section{Title}\\label{s} text\\footnote{note} more", "Title text note more"),
         ("a \\begin{thebibliography}{9} \\bibitem{k} Names \\end{thebibliography} b", "a b"),
         ("a \\begin{thebibliography}{9} cut off", "a"),
@@ -116,3 +118,30 @@ def test_held_out_accuracy_on_given_samples(spark, data):
     right = sum(fitted.languages[max(v, key=v.get)] == rest[t][1] for t, v in best.items())
     assert right / len(rest) > 0.97
     assert 0 < len(fitted.grams) and Path(data).exists()
+
+
+def test_many_macros_without_a_body_take_linear_time():
+    began = time.perf_counter()
+    not_prose("\\def\\a " * 100_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_sample_is_bounded_in_rows_and_characters(spark):
+    df = spark.createDataFrame([(f"text {k} " * 10, "en") for k in range(50)] + [("x" * 5000, "de"), (None, "fr")], "text string, lang string")
+    texts, labels = langid.training_rows(df, "text", "lang", 20, 10**6)
+    assert len(texts) == 20
+    texts, labels = langid.training_rows(df, "text", "lang", 50, 1000)
+    assert 5 < len(texts) < 20 and sum(map(len, texts)) <= 1000 and set(labels) == {"en"}
+
+
+def test_confidences_of_the_model_in_use_are_reliable(spark, data):
+    rows = spark.read.parquet(f"{data}/lang_samples.parquet")
+    model = langid.fitted(*langid.training_rows(rows, "text", "lang", 20_000, 4_000_000))
+    assert model.held_out > 0.95 and model.reliability < 0.03
+    assert langid.fitted(*langid.training_rows(rows, "text", "lang", 20_000, 4_000_000)) is model
+
+
+def test_several_labels_of_one_key(spark):
+    found = spark.createDataFrame([(1, "nl", "en", 40, 0.9, 0, 9, 40), (1, "en", "en", 40, 0.9, 0, 9, 40), (2, None, "de", 40, 0.9, 0, 9, 40)], "doc_id bigint, given string, language string, words bigint, confidence double, begin bigint, end bigint, prose_words bigint")
+    assert {tuple(r) for r in langid.label_issues(found).collect()} == {(2, "missing", "de")}
+    assert {(r["doc_id"], r["given"], r["language"]) for r in langid.document_languages(found).collect()} == {(1, "en", "en"), (2, None, "de")}

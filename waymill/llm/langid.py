@@ -11,6 +11,7 @@ sequence of languages over the units, with a penalty for each change, parts a do
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -100,6 +101,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     held_out: float = 0.0
+    reliability: float = 0.0
     index: HashIndex | None = field(default=None, repr=False)
 
     def word_scores(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +133,9 @@ def fit(
     scale: float = 40.0,
     seed: int = 7,
 ) -> Model:
-    """Fit on labelled texts. Each text gives its whole and its windows of ``window`` and of 3 words; a fifth of the
-    texts is held out for the temperature, then taken in again by a last pass."""
+    """Fit on labelled texts. Each text gives its whole and its windows of ``window`` and of 3 words. A fifth of the texts is
+    held out of everything but the temperature, so that it calibrates the very model that is handed out; half of its
+    examples fit the temperature, the other half give the figures ``held_out`` (accuracy) and ``reliability``."""
     languages = sorted(set(labels))
     plane = Plane([t or "" for t in texts])
     points, starts, ends = word_list(plane)
@@ -148,11 +151,13 @@ def fit(
     by_word = np.argsort(of_word, kind="stable")
     split = np.split(inverse[by_word], np.cumsum(np.bincount(of_word, minlength=len(starts)))[:-1])
     first_word = np.searchsorted(text_of, np.arange(len(texts) + 1))
+    held = set(rng.permutation(len(texts))[: len(texts) // 5].tolist())
+    taken = [t for t in range(len(texts)) if t not in held]
     seen = np.zeros(len(grams))
-    for t in range(len(texts)):
+    for t in taken:
         if first_word[t] < first_word[t + 1]:
             seen[np.unique(np.concatenate(split[first_word[t] : first_word[t + 1]]))] += 1
-    idf = np.log((1 + len(texts)) / (1 + seen)) + 1
+    idf = np.log((1 + len(taken)) / (1 + seen)) + 1
 
     examples = []  # (features, values, label, text)
     for t in range(len(texts)):
@@ -162,8 +167,6 @@ def fit(
             if y > x:
                 ids, counts = np.unique(np.concatenate(split[x:y]), return_counts=True)
                 examples.append((ids, scale * counts / counts.sum() * idf[ids], languages.index(labels[t]), t))
-    held = set(rng.permutation(len(texts))[: max(1, len(texts) // 5)].tolist())
-
     z, n = np.zeros((len(grams) + 1, len(languages))), np.zeros((len(grams) + 1, len(languages)))
 
     def weights(ids: np.ndarray) -> np.ndarray:
@@ -188,19 +191,31 @@ def fit(
     learn([x for x in examples if x[3] not in held], epochs)
     every = weights(np.arange(len(grams) + 1))
     tested = [(values @ every[ids] + every[-1], label) for ids, values, label, t in examples if t in held]
-    logits, truth = np.array([x for x, _ in tested]), np.array([y for _, y in tested])
-    held_out = float((logits.argmax(axis=1) == truth).mean())
+    temperature, accuracy, apart = 1.0, 0.0, 0.0
+    if len(tested) > 1:
+        order = rng.permutation(len(tested))
+        logits, truth = np.array([tested[k][0] for k in order]), np.array([tested[k][1] for k in order])
+        half = len(tested) // 2
+
+        def loss(temperature: float) -> float:
+            s = logits[:half] / temperature
+            s = s - s.max(axis=1, keepdims=True)
+            return float(-(s[np.arange(half), truth[:half]] - np.log(np.exp(s).sum(axis=1))).mean())
+
+        temperature = min(np.geomspace(0.2, 20, 80).tolist(), key=loss)
+        accuracy, apart = reliability(logits[half:] / temperature, truth[half:])
+    kept = np.abs(every[:-1]).max(axis=1) > 0
+    return Model(languages, orders, grams[kept], scale * idf[kept, None] * every[:-1][kept], every[-1], temperature, accuracy, apart)
 
-    def loss(temperature: float) -> float:
-        s = logits / temperature
-        s = s - s.max(axis=1, keepdims=True)
-        return float(-(s[np.arange(len(truth)), truth] - np.log(np.exp(s).sum(axis=1))).mean())
 
-    temperature = min(np.geomspace(0.2, 20, 80).tolist(), key=loss)
-    learn([x for x in examples if x[3] in held], 1)
-    every = weights(np.arange(len(grams) + 1))
-    kept = np.abs(every[:-1]).max(axis=1) > 0
-    return Model(languages, orders, grams[kept], scale * idf[kept, None] * every[:-1][kept], every[-1], temperature, held_out)
+def reliability(logits: np.ndarray, truth: np.ndarray, bins: int = 10) -> tuple[float, float]:
+    """(accuracy, expected calibration error): the mean distance of confidence and accuracy over bins of confidence."""
+    s = np.exp(logits - logits.max(axis=1, keepdims=True))
+    confidence = (s / s.sum(axis=1, keepdims=True)).max(axis=1)
+    right = logits.argmax(axis=1) == truth
+    bin_of = np.minimum((confidence * bins).astype(int), bins - 1)
+    gap = np.bincount(bin_of, weights=confidence - right, minlength=bins)
+    return float(right.mean()), float(np.abs(gap).sum() / len(right))
 
 
 class Labeller:
@@ -315,23 +330,42 @@ class Labeller:
 _LABELLERS: dict[bytes, Labeller] = {}
 
 
-def training_rows(samples: DataFrame, text: str, label: str, most: int) -> tuple[list[str], list[str]]:
-    """At most ``most`` labelled rows, by hash of the text, so the choice doesn't depend on the order of rows."""
-    rows = samples.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label).distinct().orderBy(F.xxhash64(text), text, label).limit(most).collect()
-    return [r[0] for r in rows], [r[1] for r in rows]
+def training_rows(samples: DataFrame, text: str, label: str, most: int, most_chars: int) -> tuple[list[str], list[str]]:
+    """At most ``most`` labelled rows of together at most ``most_chars`` characters, in the order of the text's hash, so the
+    choice doesn't depend on the order of rows; a longer text isn't taken at all, never a part of it."""
+    known = samples.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= most_chars)).select(text, label).distinct()
+    texts, labels, left = [], [], most_chars
+    for row in known.orderBy(F.xxhash64(text), text, label).limit(most).toLocalIterator():
+        left -= len(row[0])
+        if left < 0:
+            break
+        texts.append(row[0]), labels.append(row[1])
+    return texts, labels
+
+
+_MODELS: dict[str, Model] = {}
+
+
+def fitted(texts: list[str], labels: list[str]) -> Model:
+    """The model of these rows; the last one is kept, so queries over the same samples fit it once."""
+    digest = hashlib.sha256(repr((texts, labels)).encode("utf-8", "surrogatepass")).hexdigest()
+    if digest not in _MODELS:
+        _MODELS.clear()
+        _MODELS[digest] = fit(texts, labels)
+    return _MODELS[digest]
 
 
-def passages(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", most_samples: int = 20_000, change: float = 12.0) -> DataFrame:
+def passages(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", most_samples: int = 20_000, most_chars: int = 4_000_000, change: float = 12.0) -> DataFrame:
     """(key, given, language, words, confidence, begin, end, prose_words): the passages of every document, each a maximal
     stretch of prose in one language; begin and end count characters. ``given`` is the document's label as it stands. Repeated
     documents give repeated rows.
 
-    The classifier is fitted on the driver on at most ``most_samples`` rows of ``samples`` (text, lang) and sent to the
-    executors; every document is labelled over its whole text in one narrow pass. Documents without prose (null, empty,
+    The classifier is fitted on the driver on at most ``most_samples`` rows of ``samples`` (text, lang), of together at most
+    ``most_chars`` characters, and sent to the executors; every document is labelled over its whole text in one narrow pass. Documents without prose (null, empty,
     formulas only), and all documents if there are no samples, give one row with null language, 0 words and confidence 0. ``change`` is the log-odds cost of one
     change of language; more makes passages longer.
     """
-    model = fit(*training_rows(samples, "text", "lang", most_samples))
+    model = fitted(*training_rows(samples, "text", "lang", most_samples, most_chars))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,9 +402,9 @@ def passages(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", t
 
 def document_languages(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """(key, given, language, confidence, prose_words): the language of most prose words of each document (of equal ones
-    the first by name); null without prose."""
-    by = found.groupBy(key, "given", "language").agg(F.sum("words").alias("words"), F.sum(F.col("confidence") * F.col("words")).alias("mass"), F.max("prose_words").alias("prose_words"))
-    top = by.groupBy(key, "given").agg(F.min_by(F.struct("language", "words", "mass", "prose_words"), F.struct(-F.col("words"), F.col("language"))).alias("t"))
+    the first by name); null without prose. Of several labels of one key the smallest counts."""
+    by = found.groupBy(key, "language").agg(F.sum("words").alias("words"), F.sum(F.col("confidence") * F.col("words")).alias("mass"), F.max("prose_words").alias("prose_words"), F.min("given").alias("given"))
+    top = by.groupBy(key).agg(F.min("given").alias("given"), F.min_by(F.struct("language", "words", "mass", "prose_words"), F.struct(-F.col("words"), F.col("language"))).alias("t"))
     confidence = F.when(F.col("t.words") > 0, F.col("t.mass") / F.col("t.words")).otherwise(0.0)
     return top.select(key, "given", "t.language", confidence.alias("confidence"), F.col("t.prose_words").alias("prose_words"))
 
@@ -378,13 +412,13 @@ def document_languages(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
 def label_issues(found: DataFrame, *, key: str = "doc_id", least_words: int = 20, passage_words: int = 30) -> DataFrame:
     """(key, issue, true_lang): ``missing`` and ``wrong`` labels with the main language, ``mixed`` once for each other
     language with a passage of at least ``passage_words`` words; documents with fewer than ``least_words`` words of
-    prose have no issue."""
+    prose have no issue. Of several labels of one key the smallest counts."""
     by = found.where(F.col("prose_words") >= least_words).groupBy(key, "language").agg(
-        F.sum("words").alias("words"), F.max("words").alias("longest"), F.first("given").alias("given")
+        F.sum("words").alias("words"), F.max("words").alias("longest"), F.min("given").alias("given")
     )
     whole = by.groupBy(key).agg(
         F.min_by("language", F.struct(-F.col("words"), F.col("language"))).alias("main"),
-        F.first("given").alias("given"),
+        F.min("given").alias("given"),
         F.collect_list(F.when(F.col("longest") >= passage_words, F.col("language"))).alias("long"),
     )
     named = named_language(F.col("given"))

@@ -29,6 +29,7 @@ ASIDE = frozenset("footnote footnotetext thanks caption title author date sectio
 TOKEN = re.compile(r"%[^\n]*|\\[a-zA-Z]+\*?|\\.|\$\$?|[{}]|\n[ \t\r]*\n", re.S)
 FORMULA = re.compile(r"\\.|\$\$?|\n[ \t\r]*\n", re.S)
 CLOSING = {c: re.compile(re.escape(c) + r"|\n[ \t\r]*\n") for c in (r"\)", r"\]")}
+BODY = re.compile(r"\{|\n[ \t\r]*\n")
 GAP = re.compile(r"[ \t]*")
 WITHIN = {o: re.compile(r"\\.|%[^\n]*|\n[ \t\r]*\n|[" + re.escape(o + c) + "]", re.S) for o, c in ("{}", "[]")}
 STAR = re.compile(r"\\[a-zA-Z@]+|\\.", re.S)
@@ -80,6 +81,7 @@ def not_prose(text: str) -> tuple[list[int], list[int], list[int]]:
     asides: list[int] = []  # depths of open braces at which an aside ends
     depth = 0
     at = 0
+    clear = 0  # no brace opens before this place
     search = TOKEN.search
 
     while match := search(text, at):
@@ -118,8 +120,10 @@ def not_prose(text: str) -> tuple[list[int], list[int], list[int]]:
                 elif name == "begin" and environment in WITH_ARGUMENT:
                     at = _arguments(text, at, 1)
             elif name == "def":
-                brace = text.find("{", at, at + 200)  # past the macro's name and parameters
-                at = _group(text, brace, "{", "}") if brace >= 0 else at
+                if at >= clear:  # past the macro's name and parameters; a body is sought within the paragraph
+                    body = BODY.search(text, at)
+                    clear = len(text) if not body else body.start() if body.group() != "{" else at
+                    at = _group(text, body.start(), "{", "}") if body and body.group() == "{" else at
             elif name in ASIDE:
                 breaks.append(start)
                 at = _options(text, at)
