@@ -94,3 +94,35 @@ def test_route_vertices(spark):
     df = spark.createDataFrame(rows, "route_id string, geometry string").selectExpr("*", "1 AS record", "2 AS elements", "3 AS v")
     got = {r["record"]: sorted(r["elements"]) for r in bitslice.route_vertices(df).collect()}
     assert got == {"a": [(100 << 32) + 200, (300 << 32) + 400]}
+
+
+def test_folded_sketch_is_the_narrower_one():
+    rng = np.random.default_rng(2)
+    flat, owner = rng.integers(0, 2**60, 900), np.sort(rng.integers(0, 5, 900))
+    for width in (1, 3):
+        assert (bitslice.folded(bitslice.sketches(flat, owner, 5, width)) == bitslice.sketches(flat, owner, 5, width - 1)).all()
+
+
+def test_large_and_small_sets_together(spark):
+    rng = random.Random(8)
+    sets = {}
+    for k in range(60):
+        n = rng.choice([3, 150, 175, 180, 185, 200, 350, 365, 1500])
+        near = [s for s in sets.values() if 0.6 * n < len(s) < 1.6 * n]
+        base = set(rng.choice(near)) if near and rng.random() < 0.7 else {rng.randrange(10**9) for _ in range(n)}
+        for _ in range(rng.randint(0, max(1, n // 8))):
+            base ^= {rng.choice(sorted(base)) if base and rng.random() < 0.7 else rng.randrange(10**9)}
+        sets[f"r{k:02}"] = frozenset(base or {1})
+    assert len(set(bitslice.doublings(np.array([len(s) for s in sets.values()])).tolist())) >= 4
+    members, links = bitslice.near_duplicates(spark.createDataFrame([(k, list(v)) for k, v in sets.items()], SETS))
+    found = {tuple(r) for r in bitslice.similar_pairs(members, links).collect()}
+    assert found == brute(sets) and len(found) > 10
+
+
+def test_wide_sketches_keep_large_unlike_sets_apart():
+    rng = np.random.default_rng(5)
+    n, size = 40, 1500
+    width = int(bitslice.doublings(np.array([size]))[0])
+    sketch = bitslice.sketches(rng.integers(0, 2**60, n * size), np.repeat(np.arange(n), size), n, width)
+    same = np.zeros(n, np.int64)
+    assert not list(bitslice.within_radius(sketch, same, np.full(n, size), same, 7, 10))

@@ -1,6 +1,6 @@
 """Near-duplicate records by bit-sliced comparison.
 
-A record is a set of elements. Its sketch has one bit per bin, set when an odd number of its elements falls into the
+A record is a set of elements. Its sketch, wider for larger sets, has one bit per bin, set when an odd number of its elements falls into the
 bin, so the Hamming distance of two sketches never exceeds the size of the sets' symmetric difference. Jaccard
 similarity of at least p/q bounds that difference by (q-p)/(q+p) of the summed sizes: a radius that loses no pair.
 
@@ -24,24 +24,38 @@ from pyspark.sql import functions as F
 from waymill.functions.wkt import centimetres, line_coords
 from waymill.session import checkpointed
 
+#: Bins of the smallest sketches; a sketch has twice as many for each doubling of its set beyond ROOMY elements, up to
+#: 2**MOST_DOUBLINGS times. Up to there the radius stays well below the distance of unrelated sketches.
 BINS = 256
+ROOMY = 180
+MOST_DOUBLINGS = 7
 WORDS = BINS // 64
-#: Bits of the vertical counters; a radius of at least 2**COUNTER - 1 can't be exceeded by BINS bits anyway.
-COUNTER = 9
 GROUP = 7
 ROUND_GROUPS = 9
 
 
-def sketches(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, WORDS) sketches of n sets given as parallel arrays of elements (int64) and their set's number."""
+def doublings(n: np.ndarray) -> np.ndarray:
+    """How often the bins of a set of n elements are doubled."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / ROOMY)), 0, MOST_DOUBLINGS).astype(np.int64)
+
+
+def sketches(elements: np.ndarray, owner: np.ndarray, n: int, width: int = 0) -> np.ndarray:
+    """(n, WORDS * 2**width) sketches of n sets given as parallel arrays of elements (int64) and their set's number."""
+    bins = BINS << width
     mixed = elements.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    cell = owner.astype(np.int64) * BINS + (mixed >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * BINS) & 1).astype(np.uint8).reshape(n, BINS)
+    cell = owner.astype(np.int64) * bins + (mixed >> np.uint64(56 - width)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * bins) & 1).astype(np.uint8).reshape(n, bins)
     return np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
 
 
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """Sketches of half as many bins: two neighbours become one, whose parity is that of both together."""
+    bits = np.unpackbits(sketch.view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits[:, 0::2] ^ bits[:, 1::2], axis=1, bitorder="little").view(np.uint64)
+
+
 def _planes(rows: np.ndarray) -> np.ndarray:
     """(bits, words) planes over lanes of a (lanes, bits) 0/1 matrix, padded with two zero words for shifts."""
     lanes = rows.shape[0]
@@ -82,11 +96,14 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
     return ((values[:, None] >> np.arange(width)) & 1).astype(np.uint8)
 
 
-def within_radius(sketch: np.ndarray, block: np.ndarray, size: np.ndarray, side: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def within_radius(sketch: np.ndarray, block: np.ndarray, size: np.ndarray, side: np.ndarray, num: int, den: int, lead: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of all pairs of one block whose sketches are within the radius of Jaccard similarity num/den.
 
-    Rows are ordered by (block, size). ``side``: 0 pairs with everything in its block, 1 only with 2.
+    Rows are ordered by (block, size). ``side``: 0 pairs with everything in its block, 1 only with 2. ``lead``: rows that may
+    be the first of a pair (all, if not given).
     """
+    bins = sketch.shape[1] * 64
+    counter = bins.bit_length()  # bits of the vertical counters: no radius of interest needs more
     lanes = np.arange(len(block))
     limit = 0
     unpacked = np.unpackbits(sketch.view(np.uint8), axis=1, bitorder="little")
@@ -99,17 +116,19 @@ def within_radius(sketch: np.ndarray, block: np.ndarray, size: np.ndarray, side:
         if planes is None or alive[lanes].sum() * 2 < len(lanes):
             lanes = lanes[alive[lanes]]
             limit = len(lanes)
-            pad = -BINS % GROUP
+            pad = -bins % GROUP
             planes = _planes(np.concatenate([unpacked[lanes], np.zeros((limit, pad), np.uint8)], axis=1))
         i, j = lanes[: limit - shift], lanes[shift:]
         valid = (block[i] == block[j]) & (size[i] * den >= size[j] * num) & ((side[i] == 0) | (side[i] != side[j]))
+        if lead is not None:
+            valid &= lead[i]
         if not valid.any():
             continue
-        radius = np.minimum((den - num) * (size[i] + size[j]) // (den + num), 2**COUNTER - 1)
+        radius = np.minimum((den - num) * (size[i] + size[j]) // (den + num), 2**counter - 1)
         width = planes.shape[1]
         # counters start at the room below overflow, so a carry out of the top marks a pair beyond its radius
-        room = np.zeros((limit, COUNTER), np.uint8)
-        room[: limit - shift] = _bits(2**COUNTER - 1 - radius, COUNTER)
+        room = np.zeros((limit, counter), np.uint8)
+        room[: limit - shift] = _bits(2**counter - 1 - radius, counter)
         counters = [np.ascontiguousarray(p) for p in _planes(room)]
         open_ = _planes(np.concatenate([valid, np.zeros(shift, bool)]).astype(np.uint8)[:, None])[0]
         beyond = np.zeros(width, np.uint64)
@@ -120,7 +139,7 @@ def within_radius(sketch: np.ndarray, block: np.ndarray, size: np.ndarray, side:
             for g in range(0, len(differ), GROUP):
                 added = _seven(differ[g : g + GROUP])
                 carry = None
-                for k in range(COUNTER):
+                for k in range(counter):
                     if k < 3:
                         counters[k], carry = _carry_save(counters[k], added[k], carry) if carry is not None else (counters[k] ^ added[k], counters[k] & added[k])
                     else:
@@ -148,13 +167,21 @@ def _spread(num: int, den: int, most: int):
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 often = batch.column("often").flatten().to_numpy(zero_copy_only=False)
                 owner = np.repeat(np.arange(len(n)), n)
-                sketch = sketches(flat, owner, len(n))
+                width = doublings(n)
+                blobs = np.empty(len(n), object)
+                salt = np.zeros(len(n), np.uint64)
+                for w in np.unique(width):
+                    own = np.flatnonzero(width == w)
+                    chosen = width[owner] == w
+                    sketch = sketches(flat[chosen], np.searchsorted(own, owner[chosen]), len(own), int(w))
+                    salt[own] = sketch[:, 0] ^ (sketch[:, 1] >> np.uint64(7))
+                    blobs[own] = [x.tobytes() for x in sketch]
                 rank = np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, int)
                 prefix = n - (n * num + den - 1) // den + 1
                 keep = np.flatnonzero((rank < prefix[owner]) & (often > 1))
                 # an element of more than `most` records is cut into chunks, and its block into tiles of two chunks
                 chunks = -(-often[keep] // most)
-                chunk = (sketch[owner[keep], 0] ^ (sketch[owner[keep], 1] >> np.uint64(7))) % chunks.astype(np.uint64)
+                chunk = salt[owner[keep]] % chunks.astype(np.uint64)
                 copies = chunks.astype(np.int64)
                 row = np.repeat(keep, copies)
                 other = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(copies)[:-1]]), copies) if len(copies) else np.zeros(0, int)
@@ -169,7 +196,7 @@ def _spread(num: int, den: int, most: int):
                         pa.array(side),
                         record.take(pa.array(who)),
                         pa.array(n[who].astype(np.int32)),
-                        pa.array([x.tobytes() for x in sketch[who]], pa.binary()),
+                        pa.array(blobs[who], pa.binary()),
                     ],
                     names=["element", "tile", "side", "record", "n", "sketch"],
                 )
@@ -186,10 +213,22 @@ def _compare(num: int, den: int, lanes: int):
             get = lambda name: table.column(name).to_numpy()
             element, tile = get("element"), get("tile")
             fresh = np.concatenate([[True], (element[1:] != element[:-1]) | (tile[1:] != tile[:-1])])
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+            blobs = table.column("sketch").combine_chunks()
+            at = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
+            width = np.log2(np.diff(at) * 8 // BINS).astype(np.int64)
+            data = np.frombuffer(blobs.buffers()[2], np.uint8)
+            block, n, side = np.cumsum(fresh), get("n").astype(np.int64), get("side")
             record = table.column("record").combine_chunks()
-            for i, j in within_radius(sketch, np.cumsum(fresh), get("n").astype(np.int64), get("side"), num, den):
-                yield pa.RecordBatch.from_arrays([record.take(pa.array(i)), record.take(pa.array(j))], names=["a", "b"])
+            # a pair's sets differ by less than a doubling, the smaller comes first: its width, and the next one folded to it
+            for w in np.unique(width):
+                rows = np.flatnonzero((width == w) | (width == w + 1))
+                wide = lambda k, rows=rows: data[at[rows[width[rows] == k]][:, None] + np.arange((BINS << int(k)) // 8)].view(np.uint64)
+                sketch = np.zeros((len(rows), (BINS << int(w)) // 64), np.uint64)
+                sketch[width[rows] == w] = wide(w)
+                if (width[rows] == w + 1).any():
+                    sketch[width[rows] == w + 1] = folded(wide(w + 1))
+                for i, j in within_radius(sketch, block[rows], n[rows], side[rows], num, den, width[rows] == w):
+                    yield pa.RecordBatch.from_arrays([record.take(pa.array(rows[i])), record.take(pa.array(rows[j]))], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -221,11 +260,12 @@ def near_duplicates(records: DataFrame, *, num: int = 7, den: int = 10, most: in
     records are compared tile by tile. Records without elements or with null are left out; an empty input gives
     empty results.
     """
+    digest = F.struct(F.xxhash64("elements", F.lit(1)).alias("a"), F.xxhash64("elements", F.lit(2)).alias("b"))
     sets = records.where(F.col("record").isNotNull() & (F.size("elements") > 0)).select("record", F.array_sort("elements").alias("elements"))
-    sets = checkpointed(sets)
-    classes = sets.groupBy("elements").agg(F.min("record").alias("class"))
-    members = sets.join(classes, "elements").select("record", "class")
-    classes = checkpointed(classes)
+    sets = checkpointed(sets.withColumn("digest", digest))
+    # copies are folded by digest: of their elements one array is kept, and partial aggregation keeps one a task
+    classes = checkpointed(sets.groupBy("digest").agg(F.min("record").alias("class"), F.first("elements").alias("elements")))
+    members = sets.select("record", "digest").join(classes.select("digest", "class"), "digest").select("record", "class")
 
     held = classes.select(F.col("class").alias("record"), F.explode("elements").alias("element"))
     often = held.groupBy("element").agg(F.count(F.lit(1)).alias("often"))

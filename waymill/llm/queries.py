@@ -118,8 +118,8 @@ _P5 = """
         GROUP BY m.split_name, m.er, m.tr, n.n HAVING count(*) * 5 >= n.n * 3)
 """
 
-ORACLE = {
-    "p3_found": r"""
+#: Distinct vertices of routes in whole centimetres, and the pairs of routes at or above the limit.
+_P3 = r"""
         WITH line AS (
             SELECT route_id, unnest(string_split(regexp_extract(geometry, '(?i)LINESTRING\s*Z?\s*\(([^()]*)\)', 1), ',')) AS p
             FROM route_edges WHERE regexp_matches(geometry, '(?i)LINESTRING\s*Z?\s*\([^()]*\)')),
@@ -130,10 +130,30 @@ ORACLE = {
         n AS (SELECT route_id, count(*) AS n FROM v GROUP BY route_id),
         c AS (
             SELECT a.route_id AS ra, b.route_id AS rb, count(*) AS c
-            FROM v a JOIN v b ON a.x = b.x AND a.y = b.y AND a.route_id < b.route_id GROUP BY ALL)
-        SELECT ra AS route_id_a, rb AS route_id_b
-        FROM c JOIN n na ON ra = na.route_id JOIN n nb ON rb = nb.route_id
-        WHERE 10 * c >= 7 * (na.n + nb.n - c)""",
+            FROM v a JOIN v b ON a.x = b.x AND a.y = b.y AND a.route_id < b.route_id GROUP BY ALL),
+        pair AS (SELECT ra, rb FROM c JOIN n na ON ra = na.route_id JOIN n nb ON rb = nb.route_id WHERE 10 * c >= 7 * (na.n + nb.n - c))"""
+
+#: Words of documents and items, and the places in a document where 12 words of an item begin.
+_P7 = r"""
+        WITH word AS (
+            SELECT doc_id, regexp_extract_all(regexp_replace(replace(lower(text), '\-', ''), '\\\p{L}+', ' ', 'g'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        own AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items),
+        dk AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM word),
+        ik AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM own),
+        ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM ik),
+        dg AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM dk),
+        hit AS (SELECT DISTINCT doc_id, item_id, k FROM dg JOIN ig USING (g))"""
+
+ORACLE = {
+    "p3_found": _P3 + " SELECT ra AS route_id_a, rb AS route_id_b FROM pair",
+    "p3_classes": _P3
+    + """,
+        own AS (SELECT route_id, list(x * 4294967296 + y ORDER BY x, y) AS e FROM v GROUP BY route_id),
+        class AS (SELECT route_id, min(route_id) OVER (PARTITION BY e) AS class_id FROM own),
+        link AS (
+            SELECT DISTINCT ka.class_id AS a, kb.class_id AS b FROM pair JOIN class ka ON ka.route_id = ra JOIN class kb ON kb.route_id = rb WHERE ka.class_id <> kb.class_id),
+        ends AS (SELECT DISTINCT a, b FROM link UNION SELECT b, a FROM link)
+        SELECT route_id, class_id, (SELECT count(*) FROM ends WHERE a = class_id) AS n_links FROM class""",
     "p5_found": _P5 + "SELECT split_name, er AS eval_route_id, tr AS train_route_id FROM pair",
     "p5_report": _P5
     + """
@@ -142,13 +162,11 @@ ORACLE = {
           ON k.split_name = p.split_name AND k.route_id = p.er
         GROUP BY ALL""",
     "p6_roundtrip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
-    "p7_found": r"""
-        WITH word AS (
-            SELECT doc_id, regexp_extract_all(regexp_replace(replace(lower(text), '\-', ''), '\\\p{L}+', ' ', 'g'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-        own AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items),
-        dk AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM word),
-        ik AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM own),
-        dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM dk),
-        ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM ik)
-        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p7_found": _P7 + " SELECT DISTINCT doc_id, item_id FROM hit",
+    "p7_report": _P7
+    + """,
+        step AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k), k - 100) > 12 AS fresh FROM hit),
+        span AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS s FROM step),
+        long AS (SELECT doc_id, item_id, s, max(k) - min(k) + 12 AS n FROM span GROUP BY ALL)
+        SELECT item_id, count(DISTINCT doc_id) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM long GROUP BY item_id""",
 }
