@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from waymill.streaming.compact import RECORD, binary_files, compact, sidecar_records, table_of_files
+from waymill.streaming.compact import RECORD, Sealed, binary_files, compact, seal, sidecar_records, table_of_files
 
 FILES = "file_id bigint, file_path string, n_bytes bigint, body string, modified_at timestamp_ntz"
 NAME = "/a/m1/route_m1_walk_{}_start_end{}"
@@ -41,6 +41,11 @@ def write(spark, path, rows, mode="append"):
     spark.createDataFrame(rows, FILES).coalesce(1).write.mode(mode).parquet(path)
 
 
+def batches(work):
+    """How many batches the stream has committed."""
+    return len([p for p in (work / "checkpoint/commits").iterdir() if p.name.isdigit()])
+
+
 def test_stream_takes_each_file_once_and_retries_replace(spark, tmp_path):
     source, work = str(tmp_path / "in.parquet"), str(tmp_path / "work")
     write(spark, source, [(1, NAME.format(1, ".csv"), 1, "origin;POINT (1 2)", None), (2, NAME.format(1, ".csv.bak"), 1, "origin;POINT (1.000 2)", None)])
@@ -49,15 +54,44 @@ def test_stream_takes_each_file_once_and_retries_replace(spark, tmp_path):
     write(spark, source, [(4, NAME.format(3, ".csv"), 1, None, None)])
     sealed = compact(spark, table_of_files(source), workdir=work, max_bytes=1)
     assert {tuple(r) for r in sealed.collect()} == {("m1", 1, "origin", 100, 200), ("m1", 2, "origin", 300, 400)}
-    batches = sorted(p.name for p in (tmp_path / "work/landing").iterdir())
-    assert len(batches) == 1 + 3  # the empty one, and one file each
-    assert compact(spark, table_of_files(source), workdir=work).count() == 2
-    assert sorted(p.name for p in (tmp_path / "work/landing").iterdir()) == batches
+    assert batches(tmp_path / "work") == 3  # one file each
+    assert not list((tmp_path / "work/landing").iterdir())  # sealed batches are removed
+    assert compact(spark, table_of_files(source), workdir=work).count() == 2 and batches(tmp_path / "work") == 3
     # a batch whose commit got lost runs again under its number and replaces its folder
     for name in ("2", ".2.crc"):
         (tmp_path / "work/checkpoint/commits" / name).unlink(missing_ok=True)
-    assert compact(spark, table_of_files(source), workdir=work).count() == 2
-    assert sorted(p.name for p in (tmp_path / "work/landing").iterdir()) == batches
+    assert compact(spark, table_of_files(source), workdir=work).count() == 2 and batches(tmp_path / "work") == 3
+
+
+def parts(folder):
+    return sorted(p.name for p in folder.glob("part-*"))
+
+
+def test_sealing_is_incremental_and_survives_breaks(spark, tmp_path, monkeypatch):
+    landing, target = str(tmp_path / "landing"), tmp_path / "sealed"
+    land = lambda k, *numbers: spark.createDataFrame([("m", n, "origin", None, 0) for n in numbers], RECORD).write.mode("overwrite").parquet(f"{landing}/batch={k}")
+    sealed = lambda **o: sorted(r["route_no"] for r in seal(spark, landing, str(target), RECORD, **o).collect())
+    assert sealed() == []
+    land(0, 1, 1, 2)
+    assert sealed() == [1, 2] and parts(target) == ["part-1"]
+    land(1, 2, 3)
+    assert sealed(small_part=0) == [1, 2, 3] and parts(target) == ["part-1", "part-2"]  # a large part stays, its records count once
+    assert spark.read.parquet(str(target / "part-2")).count() == 1
+    land(2, 3, 4)
+    assert sealed() == [1, 2, 3, 4] and parts(target) == ["part-3"]  # small parts are taken in
+    land(0, 9)  # a batch that is sealed already, landed by a late retry
+    assert sealed() == [1, 2, 3, 4]
+    land(3, 5)
+    with monkeypatch.context() as broken:  # a break before the manifest: nothing is seen of the new part
+        broken.setattr(Sealed, "commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sealed()
+    assert Sealed(spark, str(target)).state()[1] == ["part-3"] and parts(target) == ["part-3", "part-4"]
+    with monkeypatch.context() as broken:  # a break after it: the next run removes what is left
+        broken.setattr("waymill.streaming.compact.removed", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sealed()
+    assert sealed() == [1, 2, 3, 4, 5] and parts(target) == ["part-4"] and not list((tmp_path / "landing").iterdir())
 
 
 def test_empty_table_and_single_file(spark, tmp_path):
@@ -77,7 +111,7 @@ def test_folder_of_tiny_files(spark, tmp_path):
         (folder / f"route_m9_walk_{k}_start_end.csv").write_text(f"\ufefforigin;POINT ({k} 1)\ndestination;POINT ({k} 2)\n", encoding="utf-8")
     sealed = compact(spark, binary_files(str(tmp_path / "tiny"), "*.csv"), workdir=str(tmp_path / "w"))
     assert sealed.count() == 60
-    assert len(list((tmp_path / "w/sealed").glob("part-*"))) <= 4
+    assert len(list((tmp_path / "w/sealed").glob("part-*/part-*"))) <= 4
 
 
 @pytest.mark.parametrize("kind", ["folder", "table", "one file of a table"])
@@ -127,4 +161,4 @@ def test_batches_are_bounded_without_a_given_bound(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert sorted(r["route_no"] for r in sealed.collect()) == list(range(6))
-    assert len(list((tmp_path / "w/landing").iterdir())) == 1 + 3
+    assert batches(tmp_path / "w") == 3

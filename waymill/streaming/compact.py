@@ -2,12 +2,15 @@
 
 A file stream discovers each file once (its log is in the checkpoint), takes what is available in batches of
 bounded bytes, and writes every batch to a folder named by the batch id. A batch that is run again after a failure
-replaces its own folder, so nothing is duplicated. Sealing reads the batches' folders and writes each distinct
-record once, in files near the advisory partition size (AQE splits and merges the rebalanced partitions).
+replaces its own folder, so nothing is duplicated. Sealing takes the new batches into the sealed table, each distinct
+record once, in files near the advisory partition size (AQE splits and merges the rebalanced partitions), and makes
+them visible at once by a manifest.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymill.functions.wkt import centimetres, point_xy
-from waymill.session import scratch_path
+from waymill.session import removed, scratch_path
 
 #: The labels of a sidecar record.
 LABELS = ("origin", "destination", "origin_node", "destination_node")
@@ -119,14 +122,88 @@ def ingest(
     query.awaitTermination()
 
 
-def seal(spark: SparkSession, landing: str, target: str, schema: T.StructType, *, key: Sequence[str | Column] | None = None) -> DataFrame:
-    """Write each distinct record of ``landing`` once to ``target`` in well-sized files; returns the sealed table.
-
-    ``key``: the columns that spread records over files (all, if not given). An empty landing gives an empty table.
+#: Sealed parts below this size are taken into the next part; a part beyond it stays as it is.
+SMALL_PART = 1 << 30
+
+
+class Sealed:
+    """A sealed table: parts, and numbered manifests that name the valid ones and the last batch they hold. Parts are written
+    before a manifest names them, and a manifest appears by a rename, so a reader and a later run see the state before a
+    seal or the one after it, whenever a run breaks off."""
+
+    def __init__(self, spark: SparkSession, target: str) -> None:
+        self.spark, self.target = spark, target
+        self.place = spark._jvm.org.apache.hadoop.fs.Path(target)
+        self.files = self.place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str, pattern: str) -> dict[str, tuple[int, bool]]:
+        """(number, whether a folder) by the names that match the pattern's one number."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = {}
+        for entry in self.files.listStatus(place) if self.files.exists(place) else []:
+            if match := re.fullmatch(pattern, entry.getPath().getName()):
+                found[entry.getPath().getName()] = (int(match[1]), entry.isDirectory())
+        return found
+
+    def state(self) -> tuple[int, list[str], int]:
+        """(number of the last manifest, its parts, its last batch); 0, none and -1 before the first."""
+        manifests = self.names(self.target, r"manifest-(\d+)\.json")
+        if not manifests:
+            return 0, [], -1
+        name = max(manifests, key=lambda n: manifests[n][0])
+        content = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.target}/{name}").collect()))
+        return manifests[name][0], content["parts"], content["batch"]
+
+    def commit(self, number: int, parts: list[str], batch: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        draft = path(f"{self.target}/_draft-{number}.json")
+        out = self.files.create(draft, True)
+        out.write(bytearray(json.dumps({"parts": parts, "batch": batch}).encode()))
+        out.close()
+        if not self.files.rename(draft, path(f"{self.target}/manifest-{number}.json")):
+            raise RuntimeError(f"{self.target}: manifest {number} is there already; another run seals this table")
+
+    def bytes_of(self, part: str) -> int:
+        return self.files.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.target}/{part}")).getLength()
+
+    def read(self, parts: Sequence[str], schema: T.StructType) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.target}/{p}" for p in parts])
+
+
+def seal(spark: SparkSession, landing: str, target: str, schema: T.StructType, *, key: Sequence[str | Column] | None = None, small_part: int = SMALL_PART) -> DataFrame:
+    """Take the batches of ``landing`` that aren't sealed yet into ``target``, each distinct record once, in well-sized
+    files; returns the sealed table.
+
+    New records, those of parts below ``small_part`` bytes, and none that a larger part holds, become one new part; then a
+    manifest names the valid parts, and what it no longer needs is removed: parts taken in, landed batches, remains of runs
+    that broke off. So a seal writes again only what is small, and reads of the rest what it compares. ``key``: the columns
+    that spread records over files (all, if not given). An empty landing gives an empty table.
     """
-    landed = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(landing).dropDuplicates()
-    landed.hint("rebalance", *(key or [])).write.mode("overwrite").parquet(target)
-    return spark.read.schema(schema).parquet(target)
+    table = Sealed(spark, target)
+    number, parts, last = table.state()
+    landed = table.names(landing, r"batch=(-?\d+)")
+    fresh = sorted((k, name) for name, (k, folder) in landed.items() if folder and k > last)
+    if fresh:
+        small = [p for p in parts if table.bytes_of(p) < small_part]
+        large = [p for p in parts if p not in small]
+        rows = spark.read.schema(schema).parquet(*[f"{landing}/{name}" for _, name in fresh])
+        rows = rows.unionByName(table.read(small, schema)) if small else rows
+        rows = rows.subtract(table.read(large, schema)) if large else rows.dropDuplicates()  # a set difference: distinct as well
+        number, parts, last = number + 1, [*large, f"part-{number + 1}"], fresh[-1][0]
+        rows.hint("rebalance", *(key or [])).write.mode("overwrite").parquet(f"{target}/{parts[-1]}")
+        table.commit(number, parts, last)
+    for name, (k, _) in landed.items():
+        if k <= last:
+            removed(spark, f"{landing}/{name}")
+    for name in table.names(target, r"part-(\d+)"):
+        if name not in parts:
+            removed(spark, f"{target}/{name}")
+    for name, (k, _) in table.names(target, r"(?:manifest|_draft)-(\d+)\.json").items():
+        if k < number:
+            removed(spark, f"{target}/{name}")
+    return table.read(parts, schema)
 
 
 RECORD = T.StructType(
@@ -142,9 +219,9 @@ RECORD = T.StructType(
 
 def compact(spark: SparkSession, source: Callable[[SparkSession, int], DataFrame], *, workdir: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """Sidecar files from ``source`` to one sealed table of distinct records below ``workdir`` (the shared folder if
-    not given). A second call with the same ``workdir`` takes in new files only and seals again."""
+    not given). A second call with the same ``workdir`` takes in new files only and seals what they add. One run at a
+    time works on a ``workdir``."""
     root = workdir or scratch_path(spark, "compact")
     landing = f"{root}/landing"
-    spark.createDataFrame([], RECORD).write.mode("ignore").parquet(f"{landing}/batch=-1")
     ingest(spark, source, sidecar_records, landing, f"{root}/checkpoint", max_bytes=max_bytes)
     return seal(spark, landing, f"{root}/sealed", RECORD)
