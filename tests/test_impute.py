@@ -77,3 +77,12 @@ def test_fills_follow_the_other_field_and_keep_spread(spark):
 def test_long_form(spark):
     cells = filled_cells(chained_imputation(spark.createDataFrame([row(1, curb=0.1, width=1.0), row(2)], SCHEMA)))
     assert {(r["edge_id"], r["field_name"], r["source"]) for r in cells.collect()} == {(2, "curb_height_max", "group"), (2, "obstacle_free_width_float", "group")}
+
+
+def test_fills_dont_pile_up_at_the_limits(spark):
+    rng = random.Random(3)
+    rows = [(k, k % 40, "walk", 10.0, min(0.6, max(0.0, rng.gauss(0.02, 0.05))) if k % 2 else None, 2.0) for k in range(800)]
+    df = spark.createDataFrame(rows, "edge_id bigint, street_id bigint, path_type string, length double, curb_height_max double, obstacle_free_width_float double")
+    df = df.selectExpr("*", "'No' AS crossing", "TIMESTAMP'2024-01-01' AS surveyed_at", "TIMESTAMP'2024-01-01' AS loaded_at")
+    values = [r["curb_height_max"] for r in chained_imputation(df).where("curb_height_max_filled").collect()]
+    assert len(values) == 400 and sum(v in (0.0, 0.6) for v in values) < 4 and all(0 <= v <= 0.6 for v in values)

@@ -145,7 +145,9 @@ def chained_imputation(
             design = [*[F.col(f"_x{k}") for k in range(len(exogenous))], F.coalesce(F.col(f"_h{i}"), F.lit(0.0)), *rest]
             beta, spread = _solve(design, F.col(f"_y{i}"), state, ridge)
             guess = sum((b * x for b, x in zip(beta, design, strict=True)), F.lit(0.0)) + spread * F.col(f"_e{i}")
-            bounded = F.greatest(F.lit(f.low), F.least(F.lit(f.high), guess))
+            # a draw beyond a limit is turned back at it, so that draws don't pile up at the limits
+            turned = F.when(guess < f.low, 2 * f.low - guess).when(guess > f.high, 2 * f.high - guess).otherwise(guess)
+            bounded = F.greatest(F.lit(f.low), F.least(F.lit(f.high), turned))
             current[i] = F.coalesce(F.col(f"_y{i}"), F.when(F.col(f"_source{i}").isNotNull(), bounded))
             name = f"_v{i}"
             state = state.withColumn(name, current[i])
