@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from waymill.functions.kdtree import LocalTree, SplitTree, chord, unit_vectors
-from waymill.operators.nearby import nearby, nearby_of_tables, line_segments, readable_points, region_edges, sweep_regions
+from waymill.operators.nearby import clipped, line_segments, nearby, nearby_of_tables, readable_points, region_rings, ring_edges, sweep_regions
 
 POINTS = "point_id bigint, route_id string, geometry string"
 LINES = "edge_id bigint, geometry string"
@@ -61,7 +61,7 @@ def test_against_brute_force(spark):
         want |= {("line", a, e) for e, line in lines if any(distance(xa, ya, p, q) <= 6 for p, q in zip(line, line[1:]))}
         want |= {("area", a, i) for i, parts in rings if inside(xa, ya, parts)}
     for leaf_rows in (8192, 20):
-        found = nearby(readable_points(rows[0], "point_id", "route_id"), line_segments(rows[1], "edge_id"), region_edges(rows[2], "area_id"), leaf_rows=leaf_rows, piece=30.0).collect()
+        found = nearby(readable_points(rows[0], "point_id", "route_id"), line_segments(rows[1], "edge_id"), region_rings(rows[2], "area_id"), leaf_rows=leaf_rows, piece=30.0).collect()
         got = [tuple(r) for r in found]
         assert len(got) == len(set(got))
         assert set(got) == want
@@ -127,3 +127,50 @@ def test_sweep_by_small_budget():
     for budget in (1, 10**6):
         p, r = sweep_regions(px, py, region, *edges.T, budget=budget)
         assert set(zip(p.tolist(), r.tolist())) == want
+
+
+def ragged(rng, corners, x, y, size):
+    """A closed line about a centre, with corners at random distances: seldom convex."""
+    turn = np.sort(rng.uniform(0, 2 * np.pi, corners))
+    away = rng.uniform(0.2, 1.0, corners) * size
+    return [{"x": float(round(a, 1)), "y": float(round(b, 1))} for a, b in zip(x + away * np.cos(turn), y + away * np.sin(turn))]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_clipped_edges_decide_alike(seed):
+    rng = np.random.default_rng(seed)
+    edges = ring_edges([ragged(rng, 60, 0, 0, 100), ragged(rng, 12, 5, 5, 15), ragged(rng, 9, 200, 3, 40)])
+    for _ in range(40):
+        box = np.sort(rng.uniform(-120, 240, (2, 2)).round(1), axis=0).ravel()
+        px, py = (np.append(rng.uniform(box[k], box[k + 2], 60).round(1), [box[k], box[k + 2]]) for k in (0, 1))
+        px, py = np.clip(px, box[0], box[2]), np.clip(py, box[1], box[3])
+        whole, part = clipped(edges, np.array([-1e9, -1e9, 1e9, 1e9])), clipped(edges, box)
+        found = [set(sweep_regions(px, py, np.zeros(len(e), np.int64), *e.T)[0].tolist()) for e in (whole, part)]
+        assert found[0] == found[1]
+        inner = np.concatenate([box[:2] * 0.6 + box[2:] * 0.4, box[:2] * 0.4 + box[2:] * 0.6])  # clipped twice, as down a tree
+        assert {tuple(e) for e in clipped(part, inner)[:, 1::2]} == {tuple(e) for e in clipped(edges, inner)[:, 1::2]}
+
+
+def test_a_box_inside_a_region_gets_one_edge_and_one_outside_none():
+    rng = np.random.default_rng(1)
+    edges = ring_edges([ragged(rng, 2000, 0, 0, 1000)])
+    assert len(clipped(edges, np.array([-5.0, -5.0, 5.0, 5.0]))) == 1
+    assert len(clipped(edges, np.array([1500.0, -5.0, 1600.0, 5.0]))) == 0 and len(clipped(edges, np.array([-1600.0, -5.0, -1500.0, 5.0]))) == 0
+    assert len(ring_edges([[], [{"x": 0.0, "y": 0.0}] * 2])) == 0
+
+
+def test_regions_over_many_leaves(spark):
+    rng = np.random.default_rng(6)
+    text = lambda ring: "(" + ", ".join(f"{c['x']} {c['y']}" for c in [*ring, ring[0]]) + ")"
+    rings = {k: [ragged(rng, 40, *rng.uniform(0, 1000, 2), 400), ragged(rng, 7, *rng.uniform(0, 1000, 2), 60)] for k in range(6)}
+    areas = spark.createDataFrame([(k, f"POLYGON ({', '.join(map(text, r))})") for k, r in rings.items()], "area_id bigint, geometry string")
+    xy = rng.uniform(0, 1000, (600, 2)).round(1)
+    points = spark.createDataFrame([(k, f"r{k}", float(a), float(b)) for k, (a, b) in enumerate(xy)], "id bigint, owner string, x double, y double")
+    none = spark.createDataFrame([], "id bigint, x1 double, y1 double, x2 double, y2 double")
+    want = set()
+    for k, r in rings.items():
+        e = ring_edges(r)
+        want |= {(int(p), k) for p in sweep_regions(xy[:, 0], xy[:, 1], np.zeros(len(e), np.int64), *e.T)[0]}
+    for leaf_rows in (8192, 15):
+        got = nearby(points, none, region_rings(areas, "area_id"), near_point=1.0, leaf_rows=leaf_rows).where("kind = 'area'").collect()
+        assert sorted((r["left_id"], r["right_id"]) for r in got) == sorted(want)
