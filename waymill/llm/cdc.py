@@ -7,10 +7,11 @@ distinct chunk is handled once, however many records hold it.
 
 ``exact_overlap`` joins chunk digests across splits and sums the lengths of shared chunks into a fraction per record.
 
-``near_overlap`` does the same for pairs of records, and within a tolerance: of two chunks it finds which steps of the one
-match a step of the other (all of them, if the digests are equal), and sums these lengths over a pair's chunks. Steps within
-the tolerance are found by digests of cells; a step near a cell's border is looked up in both cells, so none is missed,
-and all slots are checked. A single step can match where its chunk as a whole doesn't, so no pair is lost to the cuts.
+``near_overlap`` does the same for pairs of records, and within a tolerance: a chunk shares its whole length with a record
+that has its digest, and with any other the steps of it that match one of the record's; these lengths are summed over the
+record's chunks. Steps within the tolerance are found by digests of cells; a step near a cell's border is looked up in both
+cells, so none is missed, and all slots are checked. A single step can match where its chunk as a whole doesn't, so no pair
+is lost to the cuts.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymill.session import checkpointed
 
@@ -116,24 +118,28 @@ def _digests(tolerance: float, cell: float, anchor: Sequence[int], probe: bool):
 
 
 def _cut(mask_bits: int, window: int, longest: int, held_rows: int = 65_536):
-    """Rows (a, b: the record's two hashes, step_id, s, t: the step's two symbols), ordered by record and step, to rows with the
-    digest (lo, hi), the place and the length of the step's chunk. A record's symbols are held together."""
+    """Rows (p, q: the record's two hashes, step_id, a, b: the vector's two hashes, …), ordered by record and step, with the
+    digest (lo, hi), the place and the length of the step's chunk. A record's rows are held together."""
 
     def chunks(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         get = lambda name: table.column(name).to_numpy()
-        a, b = get("a"), get("b")
-        starts = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        symbols = [get(c).view(np.uint64) for c in ("s", "t")]
-        number = cut_chunks(symbols[0], mask_bits, window, starts=starts, longest=longest)
+        p, q, step = get("p"), get("q"), get("step_id")
+        record = np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        fresh = record | np.concatenate([[True], step[1:] != step[:-1]])
+        first = np.flatnonzero(fresh)
+        # one symbol a step: a sum over its vectors, in no order
+        symbols = [_mixed(np.add.reduceat(_mixed(get(c).view(np.uint64)), first)) for c in ("a", "b")]
+        number = cut_chunks(symbols[0], mask_bits, window, starts=record[first], longest=longest)
         head = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         length = np.diff(np.concatenate([head, [len(number)]]))
         place = np.arange(len(number)) - head[number]
         # a sum of steps mixed with their places: equal for equal chunks only, but for 2**-128
         digests = [_mixed(np.add.reduceat(_mixed(x + _mixed(place.astype(np.uint64) + np.uint64(k))), head) + length.astype(np.uint64)) for k, x in enumerate(symbols, 1)]
-        columns = [table.column(c).combine_chunks() for c in ("a", "b", "step_id")]
-        more = [pa.array(digests[0].view(np.int64)[number]), pa.array(digests[1].view(np.int64)[number]), pa.array(place.astype(np.int32)), pa.array(length[number].astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*columns, *more], names=["a", "b", "step_id", "lo", "hi", "place", "length"])
+        of_row = np.cumsum(fresh) - 1
+        chunk = number[of_row]
+        more = [pa.array(digests[0].view(np.int64)[chunk]), pa.array(digests[1].view(np.int64)[chunk]), pa.array(place[of_row].astype(np.int32)), pa.array(length[chunk].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in table.columns], *more], names=[*table.column_names, "lo", "hi", "place", "length"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -144,8 +150,8 @@ def _cut(mask_bits: int, window: int, longest: int, held_rows: int = 65_536):
             rows += batch.num_rows
             if rows >= held_rows:  # the last record may go on in the next batch
                 table = pa.Table.from_batches(held)
-                a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-                turn = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                p, q = table.column("p").to_numpy(), table.column("q").to_numpy()
+                turn = np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1]))
                 whole = int(turn[-1]) + 1 if len(turn) else 0
                 if whole:
                     yield chunks(table.slice(0, whole))
@@ -159,20 +165,17 @@ def _cut(mask_bits: int, window: int, longest: int, held_rows: int = 65_536):
 def chunked_steps(df: DataFrame, record: Sequence[str], *, slots: int = 15, decimals: int | None = None, mask_bits: int = 1, window: int = 4, longest: int = 32) -> DataFrame:
     """(``record``, rec, step_id, v, vec, chunk, place, length): each step of each record with its chunk; a step with several
     vectors has a row for each, all in one place. rec, vec and chunk are pairs of 64-bit hashes; with ``decimals``, vectors
-    count as equal if they are once rounded."""
-    pair = lambda *columns: F.struct(F.xxhash64(*columns, F.lit(11)).alias("a"), F.xxhash64(*columns, F.lit(12)).alias("b"))
+    count as equal if they are once rounded. Repeats go in the map stage; one more shuffle lays out the records."""
     steps = normalised_steps(df, record, slots, every=True)
     if decimals is not None:
         steps = steps.withColumn("v", F.transform("v", lambda x: F.round(x, decimals) + F.lit(0.0))).distinct()
-    steps = steps.withColumn("rec", pair(*[F.col(c).cast("string") for c in record])).withColumn("vec", pair("v"))
-    # one symbol a step: sums over its vectors, in no order
-    total = lambda c, seed: F.xxhash64(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(seed))
-    symbols = steps.groupBy("rec", "step_id").agg(total("vec.a", 1).alias("s"), total("vec.b", 2).alias("t")).select("rec.a", "rec.b", "step_id", "s", "t")
-    kind = df.schema["step_id"].dataType.simpleString()
-    ordered = symbols.repartition("a", "b").sortWithinPartitions("a", "b", "step_id")
-    cut = ordered.mapInArrow(_cut(mask_bits, window, longest), f"a bigint, b bigint, step_id {kind}, lo bigint, hi bigint, place int, length int")
-    cut = cut.select(F.struct("a", "b").alias("rec"), "step_id", F.struct("lo", "hi").alias("chunk"), "place", "length")
-    return steps.join(cut, ["rec", "step_id"])
+    hashes = {name: F.xxhash64(*columns, F.lit(k)) for k, name, columns in ((11, "p", record), (12, "q", record), (11, "a", ["v"]), (12, "b", ["v"]))}
+    keyed = steps.select(*[F.col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(record)], "step_id", "v", *[h.alias(n) for n, h in hashes.items()])
+    schema = T.StructType([*keyed.schema.fields, *[T.StructField(n, k) for n, k in (("lo", T.LongType()), ("hi", T.LongType()), ("place", T.IntegerType()), ("length", T.IntegerType()))]])
+    rows = keyed.repartition("p", "q").sortWithinPartitions("p", "q", "step_id").mapInArrow(_cut(mask_bits, window, longest), schema)
+    names = [F.col(f"_k{i}").cast(df.schema[c].dataType).alias(c) for i, c in enumerate(record)]
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    return rows.select(*names, pair("p", "q").alias("rec"), "step_id", "v", pair("a", "b").alias("vec"), pair("lo", "hi").alias("chunk"), "place", "length")
 
 
 def _held(steps: DataFrame) -> DataFrame:
@@ -187,48 +190,50 @@ def near_overlap(
     step of the latter: all slots differ by at most ``tolerance``.
 
     Columns: ``record`` of the evaluation side, ``source`` of the training side (prefixed ``train_``), matched, steps.
-    Chunks of either side are folded by digest. Of two chunks, one bit for each step of the evaluation side says whether it
-    matches a step of the other; the bits of a pair's chunks are joined and summed. A pair is sought only through the
-    rarest chunks of the evaluation record, of together at least n - ceil(n*num/den) + 1 steps, of which a pair above the
-    limit must share one: a chunk that a third of all records share is thus not joined unless a record consists of such.
-    Records without steps have no pairs; a step with several vectors counts once, and matches if any of them does; an
-    infinite slot matches nothing.
+    A pair is sought through the rarest n - ceil(n*num/den) + 1 steps of the evaluation record, of which a pair above the
+    limit must share one: a step that a third of all records share is thus not joined unless a record consists of such.
+    Then each distinct chunk of the evaluation side is compared with the training records sought for the records that hold
+    it, once for all of them: its whole length is shared where its digest is among theirs, else the steps (a bit each)
+    that match one of theirs. The lengths shared by a record's chunks are summed. Records without steps have no pairs; a
+    step with several vectors counts once, and matches if any of them does; an infinite slot matches nothing.
     """
     ours = checkpointed(chunked_steps(evaluation, record, slots=slots, mask_bits=mask_bits))
     theirs = checkpointed(chunked_steps(training, source, slots=slots, mask_bits=mask_bits))
-    our_vectors, their_vectors = (df.groupBy("vec").agg(F.first("v").alias("v")) for df in (ours, theirs))
+    our_vectors = ours.groupBy("vec").agg(F.first("v").alias("v"))
+    their_vectors = theirs.groupBy("vec").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("often"))
 
-    schema = "vec struct<a: bigint, b: bigint>, v array<double>, digest bigint"
-    probes = our_vectors.mapInArrow(_digests(tolerance, cell, anchor, True), schema)
-    cells = their_vectors.mapInArrow(_digests(tolerance, cell, anchor, False), schema)
+    schema = "vec struct<a: bigint, b: bigint>, v array<double>"
+    probes = our_vectors.mapInArrow(_digests(tolerance, cell, anchor, True), schema + ", digest bigint")
+    cells = their_vectors.mapInArrow(_digests(tolerance, cell, anchor, False), schema + ", often bigint, digest bigint")
     close = F.forall(F.zip_with("ov", "tv", lambda a, b: F.abs(a - b) <= tolerance + 1e-9), lambda x: x)
-    matches = probes.select(F.col("vec").alias("ours"), F.col("v").alias("ov"), "digest").join(cells.select(F.col("vec").alias("theirs"), F.col("v").alias("tv"), "digest"), "digest").where(close).select("ours", "theirs").distinct()
+    matches = probes.select(F.col("vec").alias("ours"), F.col("v").alias("ov"), "digest").join(cells.select(F.col("vec").alias("theirs"), F.col("v").alias("tv"), "often", "digest"), "digest").where(close).select("ours", "theirs", "often").distinct()
+    matches = checkpointed(matches)
 
-    # chunk against chunk: the steps of the one (a bit each) that match a step of the other
+    # candidates: records that meet in one of the rarest steps of the evaluation record
+    reach = matches.groupBy("ours").agg(F.sum("often").alias("reach"))
+    steps = ours.select("rec", "step_id", "vec").join(reach.withColumnRenamed("ours", "vec"), "vec", "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    # a step's vectors are alternatives: it has the reach of all of them, one rank, and counts once
+    by_record = Window.partitionBy("rec")
+    whole = steps.repartition("rec").withColumn("whole", F.sum("reach").over(Window.partitionBy("rec", "step_id")))
+    ranked = whole.withColumn("k", F.dense_rank().over(by_record.orderBy("whole", "step_id"))).withColumn("n", F.max("k").over(by_record).cast("bigint"))
+    lead = F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
+    rare = ranked.where((F.col("k") <= lead) & (F.col("reach") > 0)).select(F.col("rec").alias("e"), F.col("vec").alias("ours"), "n").distinct()
+    holders = theirs.select(F.col("vec").alias("theirs"), F.col("rec").alias("t")).distinct()
+    candidates = checkpointed(rare.join(matches.select("ours", "theirs"), "ours").join(holders, "theirs").select("e", "t", "n").distinct())
+
+    # shared lengths: each distinct chunk against the training records sought for it
+    held = _held(ours).select(F.col("rec").alias("e"), F.col("chunk").alias("c"), "times")
+    asked = candidates.join(held, "e").select("c", "t").distinct()
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))
     finite = F.forall("v", lambda x: F.abs(x) < float("inf"))
-    held, holders = checkpointed(_held(ours)), checkpointed(theirs.select(F.col("chunk").alias("d"), F.col("rec").alias("t")).distinct())
-    whole = ours.groupBy("chunk").agg(F.bit_or(F.when(finite, bit).otherwise(0)).alias("bits"))
-    equal = whole.join(holders.select(F.col("d").alias("chunk")).distinct(), "chunk").select(F.col("chunk").alias("c"), F.col("chunk").alias("d"), "bits")
-    near = ours.select(F.col("chunk").alias("c"), F.col("vec").alias("ours"), bit.alias("bit")).distinct().join(matches, "ours").join(theirs.select(F.col("chunk").alias("d"), F.col("vec").alias("theirs")).distinct(), "theirs")
-    near = near.where(F.col("c") != F.col("d")).groupBy("c", "d").agg(F.bit_or("bit").alias("bits"))
-    shares = checkpointed(equal.unionByName(near).where("bits <> 0"))
-
-    # candidates: records that meet in one of the rarest chunks of the evaluation record
-    often = holders.groupBy("d").agg(F.count(F.lit(1)).alias("often"))
-    reach = shares.select("c", "d").join(often, "d").groupBy(F.col("c").alias("chunk")).agg(F.sum("often").alias("reach"))
-    by_record = Window.partitionBy("rec")
-    steps = F.col("length") * F.col("times")
-    ranked = held.join(reach, "chunk", "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
-    ranked = ranked.withColumn("before", F.sum(steps).over(by_record.orderBy("reach", "chunk")) - steps).withColumn("n", F.sum(steps).over(by_record))
-    lead = F.col("before") < F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
-    rare = ranked.where(lead & (F.col("reach") > 0)).select(F.col("rec").alias("e"), F.col("chunk").alias("c"), "n")
-    candidates = rare.join(shares.select("c", "d"), "c").join(holders, "d").select("e", "t", "n").distinct()
-
-    # shared lengths of each candidate pair
-    met = candidates.join(held.select(F.col("rec").alias("e"), F.col("chunk").alias("c"), "times"), "e").join(shares, "c").join(holders, ["d", "t"], "left_semi")
-    shared = met.groupBy("e", "t", "c").agg(F.bit_count(F.bit_or("bits")).alias("bits"), F.first("times").alias("times"), F.first("n").alias("steps"))
-    shared = shared.groupBy("e", "t").agg(F.sum(F.col("bits") * F.col("times")).alias("matched"), F.first("steps").alias("steps")).where(F.col("matched") * den >= F.col("steps") * num)
+    content = ours.select(F.col("chunk").alias("c"), bit.alias("bit"), F.col("vec").alias("ours"), finite.alias("finite")).distinct()
+    equal = asked.join(theirs.select(F.col("chunk").alias("c"), F.col("rec").alias("t")).distinct(), ["c", "t"])
+    entire = content.groupBy("c").agg(F.bit_count(F.bit_or(F.when(F.col("finite"), F.col("bit")).otherwise(0))).alias("shared"))
+    near = asked.join(equal, ["c", "t"], "left_anti").join(content, "c").join(matches.select("ours", "theirs"), "ours").join(holders, ["theirs", "t"], "left_semi")
+    near = near.groupBy("c", "t").agg(F.bit_count(F.bit_or("bit")).alias("shared"))
+    lengths = equal.join(entire, "c").select("c", "t", "shared").unionByName(near)
+    shared = candidates.join(held, "e").join(lengths, ["c", "t"]).groupBy("e", "t").agg(F.sum(F.col("shared") * F.col("times")).alias("matched"), F.first("n").alias("steps"))
+    shared = shared.where(F.col("matched") * den >= F.col("steps") * num)
     left = ours.select(F.col("rec").alias("e"), *record).distinct()
     right = theirs.select(F.col("rec").alias("t"), *[F.col(c).alias(f"train_{c}") for c in source]).distinct()
     return shared.join(left, "e").join(right, "t").select(*record, *[f"train_{c}" for c in source], "matched", "steps")
