@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymill.session import checkpointed
+from waymill.session import written
 
 #: Slots of a step that stay apart for different edges: both ends and the place reached.
 ANCHOR = (0, 1, 2, 3, 13, 14)
@@ -119,7 +119,8 @@ def _digests(tolerance: float, cell: float, anchor: Sequence[int], probe: bool):
 
 def _cut(mask_bits: int, window: int, longest: int, held_rows: int = 65_536):
     """Rows (p, q: the record's two hashes, step_id, a, b: the vector's two hashes, …), ordered by record and step, with the
-    digest (lo, hi), the place and the length of the step's chunk. A record's rows are held together."""
+    digest (lo, hi), the place and the length of the step's chunk, and the number n of the record's steps. A record's rows
+    are held together."""
 
     def chunks(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -138,8 +139,9 @@ def _cut(mask_bits: int, window: int, longest: int, held_rows: int = 65_536):
         digests = [_mixed(np.add.reduceat(_mixed(x + _mixed(place.astype(np.uint64) + np.uint64(k))), head) + length.astype(np.uint64)) for k, x in enumerate(symbols, 1)]
         of_row = np.cumsum(fresh) - 1
         chunk = number[of_row]
-        more = [pa.array(digests[0].view(np.int64)[chunk]), pa.array(digests[1].view(np.int64)[chunk]), pa.array(place[of_row].astype(np.int32)), pa.array(length[chunk].astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in table.columns], *more], names=[*table.column_names, "lo", "hi", "place", "length"])
+        ends = np.cumsum(record[first]) - 1
+        more = [pa.array(np.bincount(ends)[ends][of_row]), pa.array(digests[0].view(np.int64)[chunk]), pa.array(digests[1].view(np.int64)[chunk]), pa.array(place[of_row].astype(np.int32)), pa.array(length[chunk].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in table.columns], *more], names=[*table.column_names, "n", "lo", "hi", "place", "length"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -163,7 +165,8 @@ def _cut(mask_bits: int, window: int, longest: int, held_rows: int = 65_536):
 
 
 def chunked_steps(df: DataFrame, record: Sequence[str], *, slots: int = 15, decimals: int | None = None, mask_bits: int = 1, window: int = 4, longest: int = 32) -> DataFrame:
-    """(``record``, rec, step_id, v, vec, chunk, place, length): each step of each record with its chunk; a step with several
+    """(``record``, rec, step_id, v, vec, chunk, place, length, n): each step of each record with its chunk and the number n of
+    the record's steps; a step with several
     vectors has a row for each, all in one place. rec, vec and chunk are pairs of 64-bit hashes; with ``decimals``, vectors
     count as equal if they are once rounded. Repeats go in the map stage; one more shuffle lays out the records."""
     steps = normalised_steps(df, record, slots, every=True)
@@ -171,11 +174,11 @@ def chunked_steps(df: DataFrame, record: Sequence[str], *, slots: int = 15, deci
         steps = steps.withColumn("v", F.transform("v", lambda x: F.round(x, decimals) + F.lit(0.0))).distinct()
     hashes = {name: F.xxhash64(*columns, F.lit(k)) for k, name, columns in ((11, "p", record), (12, "q", record), (11, "a", ["v"]), (12, "b", ["v"]))}
     keyed = steps.select(*[F.col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(record)], "step_id", "v", *[h.alias(n) for n, h in hashes.items()])
-    schema = T.StructType([*keyed.schema.fields, *[T.StructField(n, k) for n, k in (("lo", T.LongType()), ("hi", T.LongType()), ("place", T.IntegerType()), ("length", T.IntegerType()))]])
+    schema = T.StructType([*keyed.schema.fields, *[T.StructField(n, k) for n, k in (("n", T.LongType()), ("lo", T.LongType()), ("hi", T.LongType()), ("place", T.IntegerType()), ("length", T.IntegerType()))]])
     rows = keyed.repartition("p", "q").sortWithinPartitions("p", "q", "step_id").mapInArrow(_cut(mask_bits, window, longest), schema)
     names = [F.col(f"_k{i}").cast(df.schema[c].dataType).alias(c) for i, c in enumerate(record)]
     pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
-    return rows.select(*names, pair("p", "q").alias("rec"), "step_id", "v", pair("a", "b").alias("vec"), pair("lo", "hi").alias("chunk"), "place", "length")
+    return rows.select(*names, pair("p", "q").alias("rec"), "step_id", "v", pair("a", "b").alias("vec"), pair("lo", "hi").alias("chunk"), "place", "length", "n")
 
 
 def _held(steps: DataFrame) -> DataFrame:
@@ -197,45 +200,49 @@ def near_overlap(
     that match one of theirs. The lengths shared by a record's chunks are summed. Records without steps have no pairs; a
     step with several vectors counts once, and matches if any of them does; an infinite slot matches nothing.
     """
-    ours = checkpointed(chunked_steps(evaluation, record, slots=slots, mask_bits=mask_bits))
-    theirs = checkpointed(chunked_steps(training, source, slots=slots, mask_bits=mask_bits))
-    our_vectors = ours.groupBy("vec").agg(F.first("v").alias("v"))
-    their_vectors = theirs.groupBy("vec").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("often"))
+    ours = written(chunked_steps(evaluation, record, slots=slots, mask_bits=mask_bits), "steps")
+    theirs = written(chunked_steps(training, source, slots=slots, mask_bits=mask_bits), "steps")
+    our_vectors = ours.select("vec", "v").distinct()
+    their_vectors = theirs.groupBy("vec", "v").agg(F.count(F.lit(1)).alias("often"))
 
     schema = "vec struct<a: bigint, b: bigint>, v array<double>"
     probes = our_vectors.mapInArrow(_digests(tolerance, cell, anchor, True), schema + ", digest bigint")
     cells = their_vectors.mapInArrow(_digests(tolerance, cell, anchor, False), schema + ", often bigint, digest bigint")
     close = F.forall(F.zip_with("ov", "tv", lambda a, b: F.abs(a - b) <= tolerance + 1e-9), lambda x: x)
     matches = probes.select(F.col("vec").alias("ours"), F.col("v").alias("ov"), "digest").join(cells.select(F.col("vec").alias("theirs"), F.col("v").alias("tv"), "often", "digest"), "digest").where(close).select("ours", "theirs", "often").distinct()
-    matches = checkpointed(matches)
-
-    # candidates: records that meet in one of the rarest steps of the evaluation record
-    reach = matches.groupBy("ours").agg(F.sum("often").alias("reach"))
-    steps = ours.select("rec", "step_id", "vec").join(reach.withColumnRenamed("ours", "vec"), "vec", "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    matches = written(matches, "matches")
+    # of the training side only steps that match anything are needed from here on
+    holders = written(theirs.select(F.col("vec").alias("theirs"), F.col("rec").alias("t")).join(matches.select("theirs").distinct(), "theirs", "left_semi").distinct(), "holders")
+
+    # candidates: records that meet in one of the rarest steps of the evaluation record; those that match nothing come
+    # first in the order of rarity, so only their number counts
+    reach = matches.groupBy(F.col("ours").alias("vec")).agg(F.sum("often").alias("reach"))
+    steps = ours.select("rec", "step_id", "vec", "n").join(reach, "vec")
     # a step's vectors are alternatives: it has the reach of all of them, one rank, and counts once
     by_record = Window.partitionBy("rec")
     whole = steps.repartition("rec").withColumn("whole", F.sum("reach").over(Window.partitionBy("rec", "step_id")))
-    ranked = whole.withColumn("k", F.dense_rank().over(by_record.orderBy("whole", "step_id"))).withColumn("n", F.max("k").over(by_record).cast("bigint"))
+    ranked = whole.withColumn("k", F.dense_rank().over(by_record.orderBy("whole", "step_id"))).withColumn("m", F.max("k").over(by_record))
     lead = F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
-    rare = ranked.where((F.col("k") <= lead) & (F.col("reach") > 0)).select(F.col("rec").alias("e"), F.col("vec").alias("ours"), "n").distinct()
-    holders = theirs.select(F.col("vec").alias("theirs"), F.col("rec").alias("t")).distinct()
-    candidates = checkpointed(rare.join(matches.select("ours", "theirs"), "ours").join(holders, "theirs").select("e", "t", "n").distinct())
+    rare = ranked.where(F.col("n") - F.col("m") + F.col("k") <= lead).select(F.col("rec").alias("e"), F.col("vec").alias("ours"), "n").distinct()
+    candidates = written(rare.join(matches.select("ours", "theirs"), "ours").join(holders, "theirs").select("e", "t", "n").distinct(), "candidates")
 
     # shared lengths: each distinct chunk against the training records sought for it
-    held = _held(ours).select(F.col("rec").alias("e"), F.col("chunk").alias("c"), "times")
+    sought = ours.join(candidates.select(F.col("e").alias("rec")).distinct(), "rec", "left_semi")
+    held = _held(sought).select(F.col("rec").alias("e"), F.col("chunk").alias("c"), "times")
     asked = candidates.join(held, "e").select("c", "t").distinct()
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))
     finite = F.forall("v", lambda x: F.abs(x) < float("inf"))
-    content = ours.select(F.col("chunk").alias("c"), bit.alias("bit"), F.col("vec").alias("ours"), finite.alias("finite")).distinct()
-    equal = asked.join(theirs.select(F.col("chunk").alias("c"), F.col("rec").alias("t")).distinct(), ["c", "t"])
+    content = sought.select(F.col("chunk").alias("c"), bit.alias("bit"), F.col("vec").alias("ours"), finite.alias("finite")).distinct()
+    found = theirs.select(F.col("chunk").alias("c"), F.col("rec").alias("t")).join(candidates.select("t").distinct(), "t", "left_semi").distinct()
+    equal = asked.join(found, ["c", "t"])
     entire = content.groupBy("c").agg(F.bit_count(F.bit_or(F.when(F.col("finite"), F.col("bit")).otherwise(0))).alias("shared"))
     near = asked.join(equal, ["c", "t"], "left_anti").join(content, "c").join(matches.select("ours", "theirs"), "ours").join(holders, ["theirs", "t"], "left_semi")
     near = near.groupBy("c", "t").agg(F.bit_count(F.bit_or("bit")).alias("shared"))
     lengths = equal.join(entire, "c").select("c", "t", "shared").unionByName(near)
     shared = candidates.join(held, "e").join(lengths, ["c", "t"]).groupBy("e", "t").agg(F.sum(F.col("shared") * F.col("times")).alias("matched"), F.first("n").alias("steps"))
-    shared = shared.where(F.col("matched") * den >= F.col("steps") * num)
-    left = ours.select(F.col("rec").alias("e"), *record).distinct()
-    right = theirs.select(F.col("rec").alias("t"), *[F.col(c).alias(f"train_{c}") for c in source]).distinct()
+    shared = written(shared.where(F.col("matched") * den >= F.col("steps") * num), "shared")
+    left = ours.select(F.col("rec").alias("e"), *record).join(shared.select("e").distinct(), "e", "left_semi").distinct()
+    right = theirs.select(F.col("rec").alias("t"), *[F.col(c).alias(f"train_{c}") for c in source]).join(shared.select("t").distinct(), "t", "left_semi").distinct()
     return shared.join(left, "e").join(right, "t").select(*record, *[f"train_{c}" for c in source], "matched", "steps")
 
 
