@@ -1,7 +1,10 @@
 import json
+import os
+import pickle
 import sqlite3
 import struct
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +92,31 @@ def test_point_and_polygon_blobs():
     ring = [0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0]
     assert geopackage.wkb_to_wkt(struct.pack("<BIII8d", 1, 3, 1, 4, *ring)) == "POLYGON ((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0))"
     assert geopackage.wkb_to_wkt(b"") is None
+
+
+def test_pickled_tables(spark, tmp_path):
+    pd.DataFrame({"route_id": ["a", "b"], "step_id": [0, 1], "feature_vec": [[1.0, 2.0], [3.0]]}).to_pickle(tmp_path / "one.df")
+    pd.DataFrame({"route_id": ["c"], "extra": [1]}).to_pickle(tmp_path / "two.df")
+    got = files.read_pickled_tables(spark, str(tmp_path), "route_id string, step_id bigint, feature_vec array<double>")
+    assert sorted(map(tuple, got.collect())) == [("a", 0, [1.0, 2.0]), ("b", 1, [3.0]), ("c", None, None)]
+    (tmp_path / "bad.df").write_bytes(pickle.dumps(os.getcwd))
+    with pytest.raises(Exception, match="no part of a table"):
+        files.read_pickled_tables(spark, str(tmp_path), "route_id string", glob="bad.df").collect()
+
+
+def test_geopackages_of_any_file_system(spark, tmp_path):
+    for k, line in enumerate(([(0, 0), (1, 2)], [(3, 3), (4, 4), (5, 5)])):
+        with sqlite3.connect(tmp_path / f"p_route_demo_{k}.gpkg") as db:
+            db.execute("CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT)")
+            db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+            db.execute("INSERT INTO gpkg_contents VALUES ('route', 'features')")
+            db.execute("INSERT INTO gpkg_geometry_columns VALUES ('route', 'shape')")
+            db.execute("CREATE TABLE route (edge_id INTEGER, shape BLOB, length REAL)")
+            db.execute("INSERT INTO route VALUES (?, ?, ?)", (k, blob(line), 2.5))
+        db.close()
+    df = geopackage.read_geopackages(spark, str(tmp_path), "edge_id bigint, geometry string, length double, missing string, source_file string")
+    assert [(r["edge_id"], r["geometry"], r["length"], r["missing"], r["source_file"].endswith(f"_{r['edge_id']}.gpkg")) for r in df.orderBy("edge_id").collect()] == [
+        (0, "LINESTRING (0.0 0.0, 1.0 2.0)", 2.5, None, True), (1, "LINESTRING (3.0 3.0, 4.0 4.0, 5.0 5.0)", 2.5, None, True),
+    ]
+    assert geopackage.list_files(spark, str(tmp_path), "*.gpkg").count() == 2
+    assert geopackage.read_geopackages(spark, str(tmp_path), "edge_id bigint", glob="*.none").collect() == []

@@ -113,6 +113,11 @@ def viewport_edges(ends: DataFrame, edges: DataFrame, *, radius: float = 70.0, c
     return met.select("route_id", "edge_id").distinct()
 
 
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows by ``order``: each task sends its own first ``n``, nothing is sorted as a whole."""
+    return df.orderBy(*order).limit(n)
+
+
 def first_and_last(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     """(key, first_*, last_*): values of the first and last row of each key by ``order``."""
     return df.groupBy(key).agg(*[f(c, order).alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in values])

@@ -152,6 +152,11 @@ def gather_last(spark: SparkSession, d: str) -> DataFrame:
     return b.select("route_id", "step_id", as_text(tensor.gather_last(F.col("next_state"), F.col("len_next_state"))).alias("last"))
 
 
+def head_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first 19 training steps by route and step."""
+    return routes.head(table(spark, d, "sampled_train").select("route_id", "step_id", F.size("feature_vec").alias("n_slots")), 19, "route_id", "step_id", "n_slots")
+
+
 # episodes: the places reached along stored routes, towards the destination node
 
 
@@ -295,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         route_dedupe, route_frequency, deduped_rows, distinct_routes, invalid_route_list, route_validity, first_two_routes, split_members, split_counts, trip_ends, role_filter, first_last_steps, route_lengths, step_columns,
-        feature_vec, feature_rejects, valid_actions, replay_buffer, replay_len_done, replay_stats, gather_last, episode_rewards, episode_timeouts, episode_summary, observation, rollouts, visited_lines,
+        feature_vec, feature_rejects, valid_actions, replay_buffer, replay_len_done, replay_stats, gather_last, head_rows, episode_rewards, episode_timeouts, episode_summary, observation, rollouts, visited_lines,
         topk_per_query, hit_ndcg, layer_norm, masked_softmax, causal_conv, positional_encoding, embedding_lookup,
     )
 } | {"multihead_attention": _applied("attention"), "feedforward": _applied("feedforward"), "residual_block": _applied("residual")}
@@ -524,6 +529,7 @@ ORACLE = {
     "replay_len_done": _history(3) + f' SELECT route_id, step_id, {_shown("b", 3)} AS len_state, {_shown("u", 3)} AS len_next_state, is_done FROM h',
     "replay_stats": "SELECT CAST(10 AS INTEGER) AS state_size, CAST(max(len(feature_vec)) AS INTEGER) AS feature_dim FROM sampled_train",
     "gather_last": _SAMPLED + f" SELECT route_id, step_id, array_to_string(list_transform(v, {_TEXT}), ' ') AS last FROM s",
+    "head_rows": "SELECT route_id, step_id, CAST(len(feature_vec) AS INTEGER) AS n_slots FROM sampled_train ORDER BY route_id, step_id, n_slots NULLS FIRST LIMIT 19",
     "episode_rewards": _REWARDS + _MILLI_REWARDS,
     "episode_timeouts": _rewarded(5, 50) + _MILLI_REWARDS,
     "rollouts": _ROLLOUTS,
