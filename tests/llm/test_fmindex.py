@@ -52,6 +52,11 @@ def test_suffix_order():
         assert fmindex.suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda k: s[k:])
 
 
+def indexed(spark, docs, items, *, shard_words=500_000, **options):
+    index = fmindex.stored_index(spark.createDataFrame(docs, "doc_id bigint, text string"), shard_words=shard_words)
+    return fmindex.indexed_spans(index, spark.createDataFrame(items, "item_id bigint, text string"), **options)
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_words": 50}, {"block_chars": 200}])
 def test_against_brute_force(spark, options):
     rng = random.Random(8)
@@ -71,6 +76,7 @@ def test_against_brute_force(spark, options):
     docs += [(500, None), (501, ""), (502, "\\-"), (503, "\\"), (504, "\\foo"), (505, docs[1][1])]
     rows = found(spark, docs, items, **options).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == brute(docs, items)
+    assert sorted(map(tuple, indexed(spark, docs, items, **options).collect())) == sorted(map(tuple, rows))
     text = dict(docs)
     for r in rows:
         span = words(text[r["doc_id"]][r["begin"] : r["end"]], True)
@@ -90,8 +96,22 @@ def test_borders(spark):
     half, rest = item[: len(item) // 2], item[len(item) // 2 :]
     docs = [(1, item), (2, half), (3, rest), (4, item.replace("a5 ", "a5 x ")), (5, item.replace(" ", "\\quad ")), (6, item.replace("a5", "\\a5")), (7, "z " * 100_000 + item)]
     assert {r["doc_id"] for r in found(spark, docs, [(1, item)]).collect()} == {1, 5, 7}
+    assert sorted(map(tuple, indexed(spark, docs, [(1, item)], shard_words=20).collect())) == sorted(map(tuple, found(spark, docs, [(1, item)]).collect()))
+
+
+def test_a_stored_index_serves_other_items(spark, tmp_path):
+    docs = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(40))) for k in range(20)] + [(50, None), (51, "!")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS keys", "2 AS length")
+    fmindex.stored_index(frame, shard_words=100).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() > 3
+    for items in ([(1, docs[3][1])], [(2, docs[9][1].upper()), (3, "none of these words is in any of the texts of this corpus at all")]):
+        got = fmindex.indexed_spans(index, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, found(spark, docs, items).collect())) and got
 
 
 def test_empty_tables(spark):
+    assert indexed(spark, [], [(1, "x " * 20)]).collect() == [] and indexed(spark, [(1, "x " * 20), (2, "")], []).collect() == []
+    assert fmindex.stored_index(spark.createDataFrame([(1, "?!"), (2, None)], "doc_id bigint, text string")).collect() == []
     assert found(spark, [], [(1, "x " * 20)]).collect() == [] and found(spark, [(1, "x " * 20)], []).collect() == []
     assert found(spark, [(1, "x " * 20)], [(None, "x " * 20)]).select("item_id").collect()[0][0] is None

@@ -2,14 +2,14 @@
 
 A shard's texts become one sequence of word numbers. Words that no item has are the separator: no phrase can span them,
 and stretches too short for a phrase are left out before the index is built. The index is the Burrows-Wheeler
-transform in a wavelet matrix. All phrases of all items are sought at once, last word first, by wavelet ranks;
+transform in a wavelet matrix. ``stored_index`` keeps the indexes of all words as a table instead, for later test sets. All phrases of all items are sought at once, last word first, by wavelet ranks;
 occurrences are located by stepping back to sampled suffix positions; overlapping ones merge into removal spans.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -18,6 +18,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from waymill.llm.textplane import HashIndex, Plane, run_hashes, slices
 from waymill.session import written
@@ -61,22 +63,22 @@ class WaveletMatrix:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling the sorted prefix; the shorter of two suffixes first, if one begins the other."""
+    """Suffixes in order, by doubling the sorted prefix; the shorter of two suffixes first, if one begins the other. A round
+    sorts only the suffixes that share their prefix with another; a suffix ranks by the first place of its group."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:]
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if fresh.sum() == n or width >= n:
-            return order
+    order = np.argsort(symbols, kind="stable")
+    rank = np.empty(n, np.int64)
+    slots, key, width = np.arange(n), symbols[order], 1
+    while len(slots):
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[slots]] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
+        slots = slots[~(fresh & np.concatenate([fresh[1:], [True]]))]
+        after = order[slots] + width
+        key = rank[order[slots]] * (n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        by_key = np.argsort(key, kind="stable")
+        order[slots], key = order[slots][by_key], key[by_key]
         width *= 2
+    return order
 
 
 class FMIndex:
@@ -94,6 +96,29 @@ class FMIndex:
         self.positions = order[self.sampled]
         self.length = len(text)
 
+    def stored(self) -> dict[str, bytes]:
+        """The index as bytes: bit planes and marks packed, ranks left out."""
+        planes = np.stack([np.diff(r).astype(np.uint8) for r in self.matrix.ranks])
+        return {
+            "planes": np.packbits(planes, axis=1).tobytes(), "zeros": np.array(self.matrix.zeros, np.int64).tobytes(), "before": self.before.astype(np.int64).tobytes(),
+            "sampled": np.packbits(self.sampled).tobytes(), "positions": self.positions.astype(np.int32).tobytes(),
+        }
+
+    @classmethod
+    def loaded(cls, parts: dict[str, bytes], length: int) -> FMIndex:
+        """The index that ``stored`` gave as bytes; ``length`` counts the end mark."""
+        index, matrix = cls.__new__(cls), WaveletMatrix.__new__(WaveletMatrix)
+        get = lambda name, kind: np.frombuffer(parts[name], kind)
+        matrix.zeros = get("zeros", np.int64).tolist()
+        matrix.bits = index.bits = len(matrix.zeros)
+        planes = np.unpackbits(get("planes", np.uint8).reshape(matrix.bits, -1), axis=1, count=length)
+        matrix.ranks = [np.concatenate([[0], np.cumsum(plane, dtype=np.int64)]) for plane in planes]
+        index.matrix, index.before, index.length = matrix, get("before", np.int64), length
+        index.sampled = np.unpackbits(get("sampled", np.uint8), count=length).astype(bool)
+        index.sampled_rank = np.concatenate([[0], np.cumsum(index.sampled)])
+        index.positions = get("positions", np.int32).astype(np.int64)
+        return index
+
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges [begin, end) of suffixes that start with each phrase (rows of equal length)."""
         begin, end = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.length, np.int64)
@@ -206,7 +231,7 @@ class Phrases:
         plane = Plane(texts)
         points, places, starts, ends = word_runs(plane, markup=False)
         hashes = run_hashes(points, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        vocabulary = np.unique(hashes)
+        vocabulary = self.vocabulary = np.unique(hashes)  # in the order of word numbers
         self.index = HashIndex()
         self.index.add(vocabulary)
         numbers = self.index.get(hashes) + 1
@@ -277,24 +302,31 @@ class Shard:
         begins, ends = np.concatenate(self.begins), np.concatenate(self.ends)
         self.clear()
         index = FMIndex(sequence.astype(np.int64), phrases.symbols)
-        low, high = index.search(phrases.grams)
-        count = high - low
-        gram = np.repeat(np.arange(len(low)), count)
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        place = index.locate(rows)
-        owners = phrases.owner_at[gram + 1] - phrases.owner_at[gram]
-        item = phrases.owner[np.repeat(phrases.owner_at[gram] - np.concatenate([[0], np.cumsum(owners)[:-1]]), owners) + np.arange(owners.sum())] if len(gram) else gram
-        place = np.repeat(place, owners)
-        order = np.lexsort((place, item, docs[place]))
-        place, item = place[order], item[order]
-        if not len(place):
-            return none
-        doc = docs[place]
-        same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (place[1:] <= place[:-1] + phrases.words)
-        head = np.flatnonzero(np.concatenate([[True], ~same]))
-        tail = np.concatenate([head[1:], [len(place)]]) - 1
-        final = place[tail] + phrases.words - 1
-        return doc[head], item[head], begins[place[head]], ends[final], final - place[head] + 1
+        place, item = occurrences(index, phrases, phrases.grams, np.arange(len(phrases.grams)))
+        return merged_spans(place, item, docs[place], begins, ends, phrases.words) if len(place) else none
+
+
+def occurrences(index: FMIndex, phrases: Phrases, sought: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, item) of all occurrences of phrases, given as rows of the index's symbols with their numbers ``gram``."""
+    low, high = index.search(sought)
+    count = high - low
+    gram = np.repeat(gram, count)
+    rows = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    place = index.locate(rows)
+    owners = phrases.owner_at[gram + 1] - phrases.owner_at[gram]
+    item = phrases.owner[np.repeat(phrases.owner_at[gram] - np.concatenate([[0], np.cumsum(owners)[:-1]]), owners) + np.arange(owners.sum())] if len(gram) else gram
+    return np.repeat(place, owners), item
+
+
+def merged_spans(place: np.ndarray, item: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, item, begin, end, words) of maximal stretches of phrases that overlap or touch, ordered by doc, item and begin."""
+    order = np.lexsort((place, item, doc))
+    place, item, doc = place[order], item[order], doc[order]
+    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (place[1:] <= place[:-1] + words)
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    tail = np.concatenate([head[1:], [len(place)]]) - 1
+    final = place[tail] + words - 1
+    return doc[head], item[head], begins[place[head]], ends[final], final - place[head] + 1
 
 
 def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[tuple[list, list[str]]]:
@@ -362,10 +394,118 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, key: str = "doc_id",
 
         return documents.select(key, text).where(F.col(text).isNotNull()).mapInArrow(search, schema), shared
 
-    blocks = item_blocks(items, item_key, item_text, block_chars)
+    return _by_blocks(items, item_key, item_text, block_chars, searched, schema)
+
+
+def stored_index(documents: DataFrame, *, key: str = "doc_id", text: str = "text", shard_words: int = 500_000) -> DataFrame:
+    """The FM-indexes of a corpus, one row per shard, for ``indexed_spans``: write it as a table once, and any later set of
+    test items is sought in it without reading the corpus again.
+
+    Every word of every text is indexed. A shard holds about ``shard_words`` words, or one text if that is longer; its
+    words are numbered by the sorted hashes of its own vocabulary, texts are parted by a separator. Null and empty texts
+    and texts without words hold nothing; an empty corpus gives no rows. One narrow pass, no shuffle.
+    """
+    kind = documents.schema[key].dataType
+    binaries = ("starts", "vocabulary", "begins", "ends", "planes", "zeros", "before", "sampled", "positions")
+    schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("length", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in binaries]])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = to_arrow_schema(schema)
+        keys: list[pa.Array] = []
+        hashes: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        begins: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
+        held = size = 0
+
+        def shard() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if size:
+                words, doc = np.concatenate(hashes), np.concatenate(docs)
+                vocabulary, number = np.unique(words, return_inverse=True)
+                # a separator after each text: words move on by the number of texts before theirs
+                own, rank = np.unique(doc, return_inverse=True)
+                place = np.arange(len(words)) + rank.reshape(-1)
+                sequence = np.zeros(len(words) + len(own), np.int64)
+                sequence[place] = number.reshape(-1) + 1
+                at = {"begins": np.concatenate(begins), "ends": np.concatenate(ends)}
+                spread = {n: np.zeros(len(sequence), np.int32) for n in at}
+                for n, values in at.items():
+                    spread[n][place] = values
+                starts = place[np.concatenate([[True], rank.reshape(-1)[1:] != rank.reshape(-1)[:-1]])]
+                index = FMIndex(sequence, len(vocabulary) + 1)
+                parts = index.stored() | {"starts": starts.astype(np.int64).tobytes(), "vocabulary": vocabulary.tobytes(), **{n: v.tobytes() for n, v in spread.items()}}
+                named = pa.concat_arrays(keys).take(pa.array(own))
+                row = [pa.ListArray.from_arrays(pa.array([0, len(named)], pa.int32()), named), pa.array([index.length]), *[pa.array([parts[n]], pa.binary()) for n in binaries]]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(row, fields, strict=True)], schema=fields)
+            for part in (keys, hashes, docs, begins, ends):
+                part.clear()
+            held = size = 0
+
+        for batch in batches:
+            for first, texts in slices(batch.column(1)):
+                plane = Plane.of(texts)
+                points, places, starts, stops = word_runs(plane, markup=True)
+                keys.append(batch.column(0).slice(first, len(texts)))
+                if len(starts):
+                    doc = np.searchsorted(plane.bounds, places[starts], "right") - 1
+                    base = plane.bounds[doc]
+                    hashes.append(run_hashes(points, starts, stops)), docs.append(held + doc)
+                    begins.append(places[starts] - base), ends.append(places[stops - 1] + 1 - base)
+                held, size = held + len(texts), size + len(starts)
+                if size >= shard_words:
+                    yield from shard()
+        yield from shard()
+
+    return documents.select(key, text).where(F.col(text).isNotNull()).mapInArrow(build, schema)
+
+
+def indexed_spans(index: DataFrame, items: DataFrame, *, key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", words: int = 12, block_chars: int = 16_000_000) -> DataFrame:
+    """``leaked_spans`` of the corpus whose ``stored_index`` is given, in ``index``'s shards instead of the texts. The items go
+    in blocks as there; a phrase with a word that a shard lacks isn't sought in it."""
+    kind, item_kind = index.schema["keys"].dataType.elementType.simpleString(), items.schema[item_key].dataType
+    schema = f"{key} {kind}, item_id {item_kind.simpleString()}, begin bigint, end bigint, words bigint"
+
+    def searched(block: tuple[list, list[str]]) -> tuple[DataFrame, Broadcast]:
+        shared, token = index.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = worker_phrases(token, shared.value, words)
+            names_of = pa.array(phrases.item_ids)
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    get = lambda name, kind: np.frombuffer(batch.column(name)[k].as_buffer(), kind)  # noqa: E731, B023
+                    vocabulary = get("vocabulary", np.uint64)
+                    # the shard's symbol of each item word, 0 if it has none
+                    at = np.minimum(np.searchsorted(vocabulary, phrases.vocabulary), max(0, len(vocabulary) - 1))
+                    symbol = np.concatenate([[0], np.where(vocabulary[at] == phrases.vocabulary, at + 1, 0)]) if len(phrases.vocabulary) else np.zeros(1, np.int64)
+                    sought = symbol[phrases.grams]
+                    whole = np.flatnonzero((sought > 0).all(axis=1)) if len(sought) else np.zeros(0, np.int64)
+                    if not len(whole):
+                        continue
+                    shard = FMIndex.loaded({n: batch.column(n)[k].as_buffer() for n in ("planes", "zeros", "before", "sampled", "positions")}, batch.column("length")[k].as_py())
+                    place, item = occurrences(shard, phrases, sought[whole], whole)
+                    if not len(place):
+                        continue
+                    doc = np.searchsorted(get("starts", np.int64), place, "right") - 1
+                    doc, item, begin, end, length = merged_spans(place, item, doc, get("begins", np.int32), get("ends", np.int32), words)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("keys")[k].values.take(pa.array(doc)), names_of.take(pa.array(item)), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(length)],
+                        names=[key, "item_id", "begin", "end", "words"],
+                    )
+
+        return index.mapInArrow(search, schema), shared
+
+    return _by_blocks(items, item_key, item_text, block_chars, searched, schema)
+
+
+def _by_blocks(items: DataFrame, key: str, text: str, block_chars: int, searched: Callable[[tuple], tuple[DataFrame, Broadcast]], schema: str) -> DataFrame:
+    """The spans of all blocks of items. Of several blocks each is searched, its spans are written to the shared folder and
+    its broadcast is released before the next one is made."""
+    blocks = item_blocks(items, key, text, block_chars)
     block, following = next(blocks, None), next(blocks, None)
     if block is None:
-        return spark.createDataFrame([], schema)
+        return items.sparkSession.createDataFrame([], schema)
     if following is None:
         return searched(block)[0]
     found: DataFrame | None = None

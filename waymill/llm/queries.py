@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.llm import bitslice, bpe, cdc, fmindex, langid
+from waymill.session import written
 from waymill.sources.tables import table
 
 
@@ -66,6 +67,12 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("words").alias("n_words"))
 
 
+def p7_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p7_found`` from stored indexes: the corpus is indexed once, written, and the items are sought in the table."""
+    index = written(fmindex.stored_index(table(spark, sf_dir, "documents")), "fmindex")
+    return fmindex.indexed_spans(index, table(spark, sf_dir, "benchmark_items")).select("doc_id", "item_id").distinct()
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
@@ -88,6 +95,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p7_indexed": p7_indexed,
     "p8_found": p8_found,
     "p8_labels": p8_labels,
     "p8_passages": p8_passages,
@@ -163,6 +171,7 @@ ORACLE = {
         GROUP BY ALL""",
     "p6_roundtrip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
     "p7_found": _P7 + " SELECT DISTINCT doc_id, item_id FROM hit",
+    "p7_indexed": _P7 + " SELECT DISTINCT doc_id, item_id FROM hit",
     "p7_report": _P7
     + """,
         step AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k), k - 100) > 12 AS fresh FROM hit),
