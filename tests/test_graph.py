@@ -216,5 +216,26 @@ def test_rounds_that_end_too_early_are_an_error(spark):
     random.Random(3).shuffle(chain)
     df = spark.createDataFrame(chain, "u bigint, v bigint").repartition(4)
     with pytest.raises(RuntimeError, match="after 1 rounds"):
-        graph.components(df, most_rounds=1)
+        graph.joined_stars(df, most_rounds=1)
+    assert {(r["u"], r["v"]) for r in graph.joined_stars(df).collect()} == {(k, 0) for k in range(1, 201)}
     assert {r["component"] for r in graph.components(df).collect()} == {0}
+
+
+def test_trees_of_many_tasks_are_joined(spark):
+    rng = random.Random(6)
+    chain = [(k, k + 1) for k in range(3000) if k % 500] + [(rng.randrange(3000), rng.randrange(3000)) for _ in range(3)]
+    rng.shuffle(chain)
+    df = spark.createDataFrame([(m, a, b) for m in ("a", "b") for a, b in (chain if m == "a" else chain[::2])], "m string, u bigint, v bigint")
+    parent = {(m, x): (m, x) for m in "ab" for x in range(3001)}
+    for m, links in (("a", chain), ("b", chain[::2])):
+        for a, b in links:
+            a, b = find(parent, (m, a)), find(parent, (m, b))
+            parent[max(a, b)] = min(a, b)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:  # one task for each of 16 ranges
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false"), spark.conf.set("spark.sql.shuffle.partitions", "16")
+        got = {(r["m"], r["node"]): r["component"] for r in graph.components(df, by=["m"]).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {n: find(parent, n)[1] for n in got} and len(got) > 5000

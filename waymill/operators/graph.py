@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from waymill.functions.kdtree import SplitTree, chord, unit_vectors
 from waymill.operators.network import cheapest_arcs, directed_arcs, packed, selected, unpacked, unpacked_nodes
 from waymill.operators.spread import fitted_tree, salted
-from waymill.session import Rounds, checkpointed
+from waymill.session import Rounds, checkpointed, few, written
 
 
 def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -71,38 +71,55 @@ def local_forest(links: DataFrame, *, by: Sequence[str] = (), most_links: int =
     return links.select(*by, F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).mapInArrow(contract, schema)
 
 
-def components(pairs: DataFrame, nodes: DataFrame | None = None, *, by: Sequence[str] = (), most_rounds: int | None = None) -> DataFrame:
-    """(``by``, node, component): the component of each node of undirected ``pairs`` (``by``, u, v: integers), named by its
-    smallest node. Each value of ``by`` (not null), say a map, is a graph of its own.
+def joined_stars(links: DataFrame, *, by: Sequence[str] = (), most_rounds: int | None = None) -> DataFrame:
+    """Links (``by``, u, v) to links of every node to the smallest node of its component, which itself has none.
 
     Alternating large and small stars: every round hangs nodes below the smallest node in sight, so even long chains
-    take a number of rounds logarithmic in their length. Links stay in tables of the shared folder throughout; a round's
-    count and hash, by which the end is known, are observed while its table is written. ``nodes`` (``by``, node) adds nodes
-    without links. Rounds go on until two give the same links; with ``most_rounds``, an error is raised if they don't by then.
+    take a number of rounds logarithmic in their length. Links stay in tables of the shared folder; a round's count and
+    hash, by which the end is known, are observed while its table is written. Rounds go on until two give the same links;
+    with ``most_rounds``, an error is raised if they don't by then.
     """
-    known = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-    every = pairs.select(*by, F.explode(F.array("u", "v")).alias("node")).where(F.col("node").isNotNull())
-    every = (every if nodes is None else every.unionAll(nodes.select(*by, "node"))).distinct()
     mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)")).alias("h"))
-    rounds = Rounds(pairs.sparkSession, "components")
-    links, seen = rounds.observed(local_forest(known, by=by).distinct(), *mark)
+    rounds = Rounds(links.sparkSession, "components")
+    links, seen = rounds.observed(links.distinct(), *mark)
     done = 0
-    while True:
+    while seen["n"]:
         if most_rounds is not None and done == most_rounds:
             raise RuntimeError(f"components: links still changed after {most_rounds} rounds; labels would be split")
         done += 1
         both = links.unionAll(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*by, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        low = both.groupBy(*by, "u").agg(F.least(F.col("u"), F.min("v")).alias("_m"))
+        large = both.where(F.col("v") > F.col("u")).join(low, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("_m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         down = large.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        small = down.join(least, [*by, "u"]).select(*by, F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select(*by, "p.u", "p.v")
+        least = down.groupBy(*by, "u").agg(F.min("v").alias("_m"))
+        small = down.join(least, [*by, "u"]).select(*by, F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct(F.col("u"), F.col("_m").alias("v")))).alias("p")).select(*by, "p.u", "p.v")
         links, now = rounds.observed(small.where(F.col("u") != F.col("v")).distinct(), *mark)
         if now == seen:
             break
         seen = now
-    top = links.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return every.join(top, [*by, "node"], "left").select(*by, "node", F.coalesce("component", "node").alias("component"))
+    return links
+
+
+def components(pairs: DataFrame, nodes: DataFrame | None = None, *, by: Sequence[str] = (), most_rounds: int | None = None) -> DataFrame:
+    """(``by``, node, component): the component of each node of undirected ``pairs`` (``by``, u, v: integers), named by its
+    smallest node. Each value of ``by`` (not null), say a map, is a graph of its own. ``nodes`` (``by``, node) adds nodes
+    without links.
+
+    Links are laid out by ranges of nodes, so that near nodes (by place, if the key is a place) meet in a task, which joins
+    its links into trees. Only roots of trees that share a node are then joined by ``joined_stars``, in rounds over as many
+    links as trees meet, not over all nodes.
+    """
+    known = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).select(*by, "u", "v")
+    every = pairs.select(*by, F.explode(F.array("u", "v")).alias("node")).where(F.col("node").isNotNull())
+    every = (every if nodes is None else every.unionAll(nodes.select(*by, "node"))).distinct()
+    trees = written(local_forest(known.repartitionByRange(*by, "u"), by=by).distinct(), "trees")
+    first = trees.groupBy(*by, "u").agg(F.min("v").alias("_m"))
+    # a node with several roots joins them; a root that hangs below another one elsewhere joins it
+    met = trees.join(first, [*by, "u"]).where(F.col("v") != F.col("_m")).select(*by, F.col("v").alias("u"), F.col("_m").alias("v"))
+    hung = first.join(trees.select(*by, F.col("v").alias("u")).distinct(), [*by, "u"]).select(*by, "u", F.col("_m").alias("v"))
+    top = joined_stars(met.unionAll(hung), by=by, most_rounds=most_rounds).groupBy(*by, F.col("u").alias("root")).agg(F.min("v").alias("component"))
+    rooted = every.join(first.withColumnRenamed("u", "node"), [*by, "node"], "left").select(*by, "node", F.coalesce("_m", "node").alias("root"))
+    return rooted.join(top, [*by, "root"], "left").select(*by, "node", F.coalesce("component", "root").alias("component"))
 
 
 def component_sizes(labelled: DataFrame, *keys: str) -> DataFrame:
@@ -261,11 +278,11 @@ def shortest_paths(arcs: DataFrame, pairs: DataFrame, *, within: str = "map_id",
     """
     spark = arcs.sparkSession
     best = cheapest_arcs(arcs.select(*by, within, "src", "dst", "edge_id", F.col(weight).alias("w")), "w", by=[*by, within])
-    best = checkpointed(best.select(_area(by, within).alias("area"), "src", "dst", F.greatest(F.lit(0), F.round(F.coalesce("weight", F.lit(1.0)) * scale)).cast("bigint").alias("w")))
+    best = written(best.select(_area(by, within).alias("area"), "src", "dst", F.greatest(F.lit(0), F.round(F.coalesce("weight", F.lit(1.0)) * scale)).cast("bigint").alias("w")), "best")
     x, y = unpacked(F.col("n"))
     places = best.select(F.explode(F.array("src", "dst")).alias("n")).distinct().select(x.alias("x"), y.alias("y"))
     tree = fitted_tree(checkpointed(places), cell_nodes, unit=0.01)
-    ways = checkpointed(_celled(best, tree, cell="src", dst_cell="dst"))
+    ways = written(_celled(best, tree, cell="src", dst_cell="dst"), "ways")
     asked = checkpointed(_celled(pairs.select(F.col("id").cast("string").alias("id"), _area(by, within).alias("area"), "origin", "destination"), tree, cell="origin", last_cell="destination"))
     open_ = asked.where(F.col("area").isNotNull() & (F.col("origin") != F.col("destination")))
     watched = open_.select("area", "origin", F.col("last_cell").alias("cell"), F.col("destination").alias("node")).distinct()
@@ -394,8 +411,9 @@ def generate_paths(edges: DataFrame, od: DataFrame, *, within: str = "map_id", b
     network, nearest nodes, least-cost paths. ``paths`` has ``by`` and ``within`` too. A trip stays on its own map and, with
     ``by``, columns of both tables such as profile_id, on the edges of its own values. ``search``: cell_nodes, origins_per_task."""
     keys = [*by, within]
-    edges = checkpointed(edges.select(*keys, "edge_id", "src", "dst", "bikepath_id", "include", "my_weight"))
-    arcs = checkpointed(directed_arcs(selected_network(edges, within=within, by=by)))
+    asked = few(od.select(*keys).distinct())  # edges of profiles and maps without a trip aren't needed
+    edges = selected(edges).select(*keys, "edge_id", "src", "dst", "bikepath_id", "include", "my_weight").join(asked, keys, "left_semi")
+    arcs = written(directed_arcs(selected_network(written(edges, "edges"), within=within, by=by)).drop("oneway", "include", "bikepath_id"), "arcs")
     x, y = unpacked(F.col("node"))
     nodes = arcs.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct().select(*keys, "node", x.alias("x"), y.alias("y"))
     keyed = checkpointed(od.select(*keys, F.concat_ws(" ", F.col("id").cast("string"), "role").alias("id"), F.col("id").cast("string").alias("trip"), "role", "x", "y"))
