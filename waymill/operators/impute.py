@@ -101,7 +101,7 @@ def chained_imputation(
     """
     attributes = list(dict.fromkeys([*group, time, *numeric, *(name for name, _ in flags)]))
     keyed = latest_measured(df, key, list(fields), attributes, order)
-    keyed = keyed.withColumn("_month", F.date_format(F.col(time), "yyyy-MM"))
+    keyed = written(keyed.withColumn("_month", F.date_format(F.col(time), "yyyy-MM")), "keyed")  # read four times
 
     # statistics of groups and months: partial sums before the shuffle, so a hot group is no hot task
     stats = lambda prefix: [x for i, f in enumerate(fields) for x in (F.avg(f.name).alias(f"{prefix}m{i}"), F.count(f.name).alias(f"{prefix}n{i}"))]
