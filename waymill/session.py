@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
         _expires(spark, named)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named)
-        _expires(spark, context._jsc.sc().getCheckpointDir().get())
+    _expires(spark, context._jsc.sc().getCheckpointDir().get())  # this application's own folder below the shared one
     return named.rstrip("/")
 
 
