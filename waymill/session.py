@@ -53,8 +53,9 @@ def _folder(spark: SparkSession, path: str):
 
 
 def _expires(spark: SparkSession, path: str) -> None:
-    """Have a folder removed when the application ends."""
+    """Have a folder removed when the application ends; it is made if it isn't there, for only then it is noted."""
     system, place = _folder(spark, path)
+    system.mkdirs(place)
     system.deleteOnExit(place)
 
 
